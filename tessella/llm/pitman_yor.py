@@ -35,7 +35,9 @@ CONTEXTS = 256
 BURN, SAMPLES = 2, 3
 #: (discount, strength) of the context restaurants and of the word restaurant.
 LOWER, UPPER = (0.8, 1.0), (0.6, 1.0)
-BLOCK_BYTES, BLOCK_DOCS = 12_000_000, 32_000
+BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 32_000
+#: Word ranges that a part's task seats one after the other, to hold one at a time.
+RANGES = 6
 #: A word with this share of a block's tokens is frequent there.
 HOT = 0.004
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -44,7 +46,7 @@ _known: dict[bytes, int] = {}
 
 def hashes(words: list[bytes]) -> list[int]:
     """64-bit numbers of words, the same in every process."""
-    if len(_known) > 500_000:
+    if len(_known) > 200_000:
         _known.clear()
     try:
         return list(map(_known.__getitem__, words))
@@ -218,34 +220,52 @@ def blocks(docs: DataFrame, held_out, parts: int, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long"), held_out, utf8(text_col)).mapInArrow(run, schema)
 
 
-def _learn(pdf: pd.DataFrame, parts: int) -> tuple[Part, list, np.ndarray, set]:
-    """A part's restaurants, its cold entries by block, the pair of each entry, and its hot words."""
-    pdf = pdf.sort_values(["kind", "block", "word"], ignore_index=True)
-    cold = [(r.block, _unpack(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].itertuples()]
-    hot = [(np.uint64(np.int64(r.word).astype(np.uint64)), np.frombuffer(r.blob, "<u4")) for r in pdf[pdf.kind == 2].itertuples()]
-    named = np.concatenate([np.zeros(0, np.uint64), *(x[0] for _, x in cold), np.array([w for w, _ in hot], dtype=np.uint64)])
+def _learn(pdf: pd.DataFrame, parts: int):
+    """A part's restaurants by word range: (restaurants, cold entries by block, the pair of each entry, hot words)."""
+    number = int(pdf.part.iloc[0])
+    cold = [(r.block, _unpack(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].sort_values("block").itertuples()]
+    hot = [(np.int64(r.word).astype(np.uint64), np.frombuffer(r.blob, "<u4")) for r in pdf[pdf.kind == 2].sort_values(["block", "word"]).itertuples()]
+    every = np.uint64(parts * RANGES)
+    within = lambda w: (w >> np.uint64(32)) * every >> np.uint64(32)
+    for v in range(number * RANGES, (number + 1) * RANGES):
+        some = []
+        for block, (w, n, context, doc, count, train) in cold:
+            lo, hi = np.searchsorted(within(w), [v, v + 1])
+            if lo < hi:
+                first = int(n[:lo].sum(dtype=np.int64))
+                e = slice(first, first + int(n[lo:hi].sum(dtype=np.int64)))
+                some.append((block, w[lo:hi], n[lo:hi], context[e], doc[e], count[e], int(train[0])))
+        often = [(w, c) for w, c in hot if within(w) == v]
+        if some or often:
+            yield _range(some, often, parts * RANGES, v)
+
+
+def _range(cold: list, hot: list, share: int, number: int) -> tuple[Part, list, np.ndarray, set]:
+    named = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in cold), np.array([w for w, _ in hot], dtype=np.uint64)])
     words, at = np.unique(named, return_inverse=True)
-    sizes = np.concatenate([np.zeros(0, np.int64), *(x[1] for _, x in cold)]).astype(np.int64)
-    word = np.repeat(at[: len(sizes)], sizes)
-    context = np.concatenate([np.zeros(0, np.uint8), *(x[2] for _, x in cold)]).astype(np.int64)
-    learned = np.concatenate([np.zeros(0), *(x[4] * (x[3] < x[5][0]) for _, x in cold)]).astype(float)
+    sizes = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in cold)]).astype(np.int64)
+    key = np.repeat(at[: len(sizes)] * CONTEXTS, sizes)
+    key += np.concatenate([np.zeros(0, np.uint8), *(x[3] for x in cold)])
     hot_at = at[len(sizes) :]
-    key = np.concatenate([word * CONTEXTS + context, *(k * CONTEXTS + np.arange(CONTEXTS) for k in hot_at)]).astype(np.int64)
+    key = np.concatenate([key, *(k * CONTEXTS + np.arange(CONTEXTS) for k in hot_at)])
     pairs, of = np.unique(key, return_inverse=True)
-    customers = np.bincount(of, np.concatenate([learned, *(c for _, c in hot)]), len(pairs))
-    part = Part(words, pairs // CONTEXTS, pairs % CONTEXTS, customers, parts, int(pdf.part.iloc[0]))
-    return part, cold, of, {int(k) for k in hot_at}
+    learned = np.concatenate([np.zeros(0), *(x[5] * (x[4] < x[6]) for x in cold), *(c for _, c in hot)])
+    customers = np.bincount(of, learned, len(pairs))
+    return Part(words, pairs // CONTEXTS, pairs % CONTEXTS, customers, share, number), cold, of, {int(k) for k in hot_at}
 
 
 _SUM = "block long, docs binary, model binary, base binary, known binary"
 
 
-def _per_doc(block: int, doc: np.ndarray, model: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple:
-    """A block's document sums of entries, for documents that have any."""
-    n = int(doc.max()) + 1
-    there = np.flatnonzero(np.bincount(doc, minlength=n))
-    sums = [np.bincount(doc, x, n)[there] for x in (model, base, known)]
-    return (block, there.astype("<u2").tobytes(), sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes())
+def _per_doc(block: int, sums: np.ndarray) -> tuple:
+    """A block's document sums (model, base, known, entries) as a row, for documents that have entries."""
+    there = np.flatnonzero(sums[3])
+    return (block, there.astype("<u2").tobytes(), sums[0][there].tobytes(), sums[1][there].tobytes(), sums[2][there].astype("<u4").tobytes())
+
+
+def _add(sums: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> None:
+    for row, x in zip(sums, (*values, None), strict=True):
+        row += np.bincount(doc, x, len(row))
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,16 +273,19 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     parts = parallelism(spark)
     rows = materialise(blocks(docs, held_out, parts, id_col, text_col), "tokens")
+    width = 1 + CONTEXTS * (1 + SAMPLES) + 2 * SAMPLES
     by_part = rows.filter("kind IN (1, 2)").groupBy("part")
 
     def seated(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, _, _, hot = _learn(pdf, parts)
-        out = [(None, part.sums().tobytes())]
-        start = np.searchsorted(part.pw, np.arange(len(part.words) + 1))
-        for k in sorted(hot):
-            p = slice(start[k], start[k + 1])
-            state = _pack(part.pb[p].astype("<i8"), part.c[p], *(t[p] for t in part.t), np.array([x[k] for x in (*part.up, *part.top)]), np.array([part.count[k]]))
-            out.append((int(part.words[k].astype(np.int64)), state))
+        total, out = np.zeros(width), []
+        for part, _, _, hot in _learn(pdf, parts):
+            total += part.sums()
+            start = np.searchsorted(part.pw, np.arange(len(part.words) + 1))
+            for k in sorted(hot):
+                p = slice(start[k], start[k + 1])
+                state = _pack(part.pb[p].astype("<i8"), part.c[p], *(t[p] for t in part.t), np.array([x[k] for x in (*part.up, *part.top)]), np.array([part.count[k]]))
+                out.append((int(part.words[k].astype(np.int64)), state))
+        out.append((None, total.tobytes()))
         return pd.DataFrame({"word": pd.array([w for w, _ in out], dtype="Int64"), "state": [x for _, x in out]})
 
     states = materialise(by_part.applyInPandas(seated, "word long, state binary"), "seats")
@@ -276,22 +299,23 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         if total is not None:
             yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
 
-    width = 1 + CONTEXTS * (1 + SAMPLES) + 2 * SAMPLES
     flat = np.zeros(width)
     for r in states.filter("word IS NULL").mapInPandas(added, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         flat[r.i] = r.x
     sums = Sums(flat)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, cold, of, _ = _learn(pdf, parts)
-        model = sums.log10(part.pb, part.c, part.t, [x[part.pw] for x in part.up], [x[part.pw] for x in part.top])
-        base, known = np.log10(part.count + 1)[part.pw], (part.count > 0)[part.pw].astype(float)
-        out, at = [], 0
-        for block, (_, _, context, doc, n, _) in cold:
-            pair = of[at : at + len(context)]
-            at += len(context)
-            out.append(_per_doc(block, doc.astype(np.int64), n * model[pair], n * base[pair], n * known[pair]))
-        return pd.DataFrame(out, columns=["block", "docs", "model", "base", "known"])
+        docs = {r.block: np.zeros((4, int(_unpack(r.blob, *_ENTRY)[3].max()) + 1)) for r in pdf[pdf.kind == 1].itertuples()}
+        for part, cold, of, _ in _learn(pdf, parts):
+            model = sums.log10(part.pb, part.c, part.t, [x[part.pw] for x in part.up], [x[part.pw] for x in part.top])
+            base, known = np.log10(part.count + 1), part.count > 0
+            at = 0
+            for block, _, _, context, doc, n, _ in cold:
+                pair = of[at : at + len(context)]
+                at += len(context)
+                word = part.pw[pair]
+                _add(docs[block], doc, n * model[pair], n * base[word], n * known[word])
+        return pd.DataFrame([_per_doc(k, v) for k, v in docs.items()], columns=["block", "docs", "model", "base", "known"])
 
     def hot_scored(frames):
         for pdf in frames:
@@ -303,7 +327,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                     f[context] = x
                 model = sums.log10(np.arange(CONTEXTS), full[0], full[1:], ends[:SAMPLES], ends[SAMPLES:])
                 _, _, b, doc, n, _ = _unpack(r.blob, *_ENTRY)
-                out.append(_per_doc(r.block, doc.astype(np.int64), n * model[b], n * np.log10(count[0] + 1), n * float(count[0] > 0)))
+                own = np.zeros((4, int(doc.max()) + 1))
+                _add(own, doc, n * model[b], n * np.log10(count[0] + 1), n * float(count[0] > 0))
+                out.append(_per_doc(r.block, own))
             yield pd.DataFrame(out, columns=["block", "docs", "model", "base", "known"])
 
     hot = rows.filter("kind = 3").select("word", "block", "blob").join(states.filter("word IS NOT NULL"), "word")
