@@ -152,20 +152,19 @@ def _cut(nodes: DataFrame, most: int) -> list[tuple[int, int, int]]:
 
 
 def _merge(counts: dict[int, int], depth: int, most: int) -> list[tuple[int, int, int]]:
-    """Join sibling subtrees, up to eight levels, as long as the parent is small enough."""
-    level, out = counts, []
+    """The largest subtrees of at most ``most``, from counts at ``depth`` up to eight levels above; larger ones at ``depth`` stay."""
+    full = {depth: counts}
     for d in range(depth, depth - 8, -1):
         up: dict[int, int] = {}
-        for p, n in level.items():
+        for p, n in full[d].items():
             up[p >> 1] = up.get(p >> 1, 0) + n
-        keep = {}
-        for p, n in level.items():
-            if up[p >> 1] > most:
+        full[d - 1] = up
+    out = []
+    for d in range(depth, depth - 9, -1):
+        for p, n in full[d].items():
+            if n <= most and (d == depth - 8 or full[d - 1][p >> 1] > most) or d == depth and n > most:
                 out.append((p, d, n))
-            else:
-                keep[p >> 1] = up[p >> 1]
-        level = keep
-    return out + [(p, depth - 8, n) for p, n in level.items()]
+    return out
 
 
 def _signed(x: int) -> int:
