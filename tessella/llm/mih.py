@@ -80,20 +80,22 @@ class Index:
         self.codes, self.tables = codes, []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+            values, first, bucket = np.unique(codes[order, j], return_index=True, return_inverse=True)
+            of = np.empty(len(order), dtype=np.int32)
+            of[order] = bucket
+            self.tables.append((values, np.append(first, len(order)), order, of))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code lies within the radius: pigeonhole probing, then the whole code."""
         step = radius // len(self.tables)
         seen = np.zeros(len(self.codes), dtype=bool)
-        for j, (values, first, order) in enumerate(self.tables):
+        for j, (values, first, order, of) in enumerate(self.tables):
             hit = np.bitwise_count(values ^ code[j]) <= step
-            size = np.diff(first)
-            if 2 * hit.sum() > len(hit):  # most buckets: mark by row
-                seen[order[np.repeat(hit, size)]] = True
+            few = np.flatnonzero(hit)
+            if len(few) > 32:  # many buckets: by each row's bucket
+                seen |= hit[of]
             else:
-                for b in np.flatnonzero(hit):
+                for b in few:
                     seen[order[first[b] : first[b + 1]]] = True
         rows = np.flatnonzero(seen)
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
