@@ -68,7 +68,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
 class CumulativeLink:
     """Shared sparse weights and ordered thresholds, fitted by FTRL-proximal."""
 
-    def __init__(self, grades: int = GRADES, dim: int = DIM + SHAPES, alpha: float = 0.3, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, grades: int = GRADES, dim: int = DIM + SHAPES, alpha: float = 0.3, l1: float = 6.0, l2: float = 1.0):
         self.w, self.z, self.n = np.zeros(dim), np.zeros(dim), np.zeros(dim)
         self.t = np.arange(grades - 1) - (grades - 1) / 2 + 0.5
         self.alpha, self.l1, self.l2 = alpha, l1, l2
@@ -77,7 +77,7 @@ class CumulativeLink:
         """P(grade > g) for each threshold g."""
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[..., None] - self.t, -40, 40)))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, seed: int = 1) -> CumulativeLink:
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 3, seed: int = 1) -> CumulativeLink:
         grades = np.array([g for _, _, g in rows])
         for g in range(len(self.t)):
             p = np.clip((grades > g).mean(), 1e-3, 1 - 1e-3)
