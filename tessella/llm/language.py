@@ -8,7 +8,9 @@ the shortest code wins and its score is the posterior under equal priors. Texts
 (A-Z) and start after three spaces, so every byte has a full context.
 
 The fit reads at most ``SAMPLE_DOCS`` documents and about ``SAMPLE_BYTES`` bytes per language, the first by a
-hash of their id, each read whole; prediction covers every byte of every text.
+hash of their id, each read whole; repeated rows of an id count toward the bounds and are learned once. Rows and
+bytes per bucket of that hash are summed first, so that only the buckets which the sample reaches are put in
+order. Prediction covers every byte of every text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, so is every text when nothing
 could be learned; equal code lengths take the language first in alphabetical order; a null id counts as not
@@ -33,6 +35,7 @@ _PAD = b" " * ORDER
 _ASCII = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
 _DENSE = 1 << 22
+_BUCKET_BITS = 12
 
 
 def grams(data: np.ndarray, n: int) -> np.ndarray:
@@ -148,16 +151,25 @@ def remainder(id_col: str, n: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
 
 
+def _first(groups: DataFrame, order: list[str]) -> DataFrame:
+    """Of groups of ``c`` rows and ``s`` bytes, those that start within a language's bounds."""
+    w = W.partitionBy("l").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    sums = groups.withColumns({"rows_before": F.coalesce(F.sum("c").over(w), F.lit(0)), "bytes_before": F.coalesce(F.sum("s").over(w), F.lit(0))})
+    return sums.filter((F.col("rows_before") < SAMPLE_DOCS) & (F.col("bytes_before") < SAMPLE_BYTES))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """Learn from the rows of ``docs`` that have a language."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("n"), F.xxhash64(id_col).alias("h"))
-    w = W.partitionBy("l").orderBy("h", "i", "n")
-    few = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE_DOCS)
-    few = few.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < SAMPLE_BYTES)
-    chosen = few.select(F.col("i").alias("__i"), F.col("l").alias("__l"), F.col("n").alias("__n")).distinct()
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.octet_length(text_col).cast("long").alias("n"), F.xxhash64(id_col).alias("h"))
+    rows = rows.withColumn("b", F.shiftright("h", 64 - _BUCKET_BITS))
+    # Rows and bytes per bucket of the hash tell which buckets the sample reaches: only their rows are ordered.
+    reached = _first(rows.groupBy("l", "b").agg(F.count("*").alias("c"), F.sum("n").alias("s")), ["b"]).select("l", "b")
+    few = rows.join(F.broadcast(reached), ["l", "b"], "left_semi").groupBy("l", "i", "n", "h").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    chosen = _first(few, ["h", "i", "n"]).select(F.col("i").alias("__i"), F.col("l").alias("__l"), F.col("n").alias("__n"))
     same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col(lang_col) == F.col("__l")) & (F.octet_length(text_col) == F.col("__n"))
+    found = docs.join(F.broadcast(chosen), same, "left_semi").groupBy(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("n")).agg(F.min(utf8(text_col)).alias("t"))
     texts: dict[str, list[bytes]] = {}
-    for r in docs.join(F.broadcast(chosen), same, "left_semi").select(F.col(lang_col).alias("l"), utf8(text_col).alias("t")).toLocalIterator():
+    for r in found.select("l", "t").toLocalIterator():
         texts.setdefault(r.l, []).append(bytes(r.t))
     return Classifier({k: sorted(v) for k, v in texts.items()})
 
