@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from tessella.plans import catalogue, layouts
+from tessella.plans import catalogue, layouts, marketplace
 
 DIR = "/root/testdata/sf0.001"
-ORACLE = catalogue.oracle_sql() | layouts.ORACLE
-QUERIES = catalogue.queries() | layouts.QUERIES
+ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql()
+QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries()
 
 
 @pytest.fixture(scope="module")
