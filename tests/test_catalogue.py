@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from tessella.plans import catalogue, evaluation, layouts, marketplace
+from tessella.plans import catalogue, evaluation, inspection, layouts, marketplace
 
 DIR = "/root/testdata/sf0.001"
-ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | evaluation.ORACLE
-QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries() | evaluation.QUERIES
+ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | evaluation.ORACLE | inspection.ORACLE
+QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries() | evaluation.QUERIES | inspection.QUERIES
 
 
 @pytest.fixture(scope="module")
