@@ -29,13 +29,17 @@ def variable_paths(starts: DataFrame, edges: DataFrame, low: int, high: int) ->
 
 
 def reachable(starts: DataFrame, edges: DataFrame, high: int) -> DataFrame:
-    """(src, dst, depth): breadth-first levels up to ``high``; a node keeps its first depth. Visited pairs leave by an anti join."""
-    e = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
-    seen = front = starts.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct()
+    """(src, dst, depth): breadth-first levels up to ``high``; a node keeps its least depth.
+
+    Each level reads the one before once, so the plan grows with the depth only in proportion: rows of the last level
+    are joined with their edges and all rows go into one partial aggregation."""
+    e = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__next")).distinct()
+    seen = starts.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct()
     for depth in range(1, high + 1):
-        step = front.join(e, "dst").select("src", F.col("next").alias("dst")).distinct()
-        front = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
-        seen = seen.unionByName(front)
+        step = seen.join(e, (F.col("dst") == F.col("__from")) & (F.col("depth") == depth - 1), "left")
+        own, new = F.struct("dst", "depth"), F.struct(F.col("__next").alias("dst"), F.lit(depth).alias("depth"))
+        both = step.select("src", F.inline(F.when(F.col("__next").isNull(), F.array(own)).otherwise(F.array(own, new))))
+        seen = both.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
     return seen
 
 
