@@ -298,3 +298,24 @@ def test_pipeline(spark):
     docs = {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert out and {r.doc_id for r in out} <= docs and len({r.doc_id for r in out}) > len(docs) // 3
     assert hashlib.sha256(repr(sorted(map(tuple, out))).encode()).hexdigest() == hashlib.sha256(repr(sorted(map(tuple, corpus_pipeline.run(spark, d).collect()))).encode()).hexdigest()
+
+
+def test_language_sample_is_the_first_by_hash(spark, monkeypatch):
+    from tessella.llm import language as L
+
+    monkeypatch.setattr(L, "SAMPLE_DOCS", 40)
+    monkeypatch.setattr(L, "SAMPLE_BYTES", 700)
+    monkeypatch.setattr(L, "Classifier", lambda texts: texts)
+    rows = [(k, "x" * (k % 50), "ab"[k % 2]) for k in range(300)] + [(7, "x" * 7, "b")] * 3 + [(None, "n", "a"), (1, None, "a"), (2, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = docs.selectExpr("doc_id", "text", "lang", "xxhash64(doc_id) AS h").filter("text IS NOT NULL AND lang IS NOT NULL").collect()
+    want = {}
+    for lang in "ab":
+        seen, size, texts = 0, 0, {}
+        for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: (r.h, r.doc_id is not None, r.doc_id or 0)):
+            if (r.doc_id, r.text) in texts or (seen < 40 and size < 700):
+                texts[r.doc_id, r.text] = r.text.encode()
+            seen, size = seen + 1, size + len(r.text)
+        want[lang] = sorted(texts.values())
+    assert L.fit(docs) == want
+    assert L.fit(docs.limit(0)) == {}
