@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from tessella.plans import catalogue, evaluation, inspection, layouts, marketplace
+from tessella.plans import catalogue, evaluation, inspection, layouts, marketplace, marketplace_documents, marketplace_graph
 
 DIR = "/root/testdata/sf0.001"
-ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | evaluation.ORACLE | inspection.ORACLE
-QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries() | evaluation.QUERIES | inspection.QUERIES
+ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | marketplace_documents.oracle_sql() | marketplace_graph.oracle_sql() | evaluation.ORACLE | inspection.ORACLE
+QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries() | marketplace_documents.queries() | marketplace_graph.queries() | evaluation.QUERIES | inspection.QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -39,3 +39,11 @@ def test_matches_oracle(spark, oracle, name):
 def test_sample_is_exact_and_repeatable(spark):
     a = {r[0] for r in layouts.s5_sample(spark, DIR).collect()}
     assert len(a) == 50 and a == {r[0] for r in layouts.s5_sample(spark, DIR).collect()}
+
+
+def test_stored_collections_answer_the_same(spark, tmp_path):
+    made = marketplace_documents.Documents(marketplace.Shop(spark, DIR))
+    marketplace_documents.store(made, str(tmp_path))
+    kept = marketplace_documents.Stored(spark, str(tmp_path))
+    for f in (marketplace_documents.many_sellers, marketplace_documents.product_page, marketplace_documents.feed):
+        assert sorted(f(kept).collect()) == sorted(f(made).collect())
