@@ -274,7 +274,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     parts = parallelism(spark)
     rows = materialise(blocks(docs, held_out, parts, id_col, text_col), "tokens")
     width = 1 + CONTEXTS * (1 + SAMPLES) + 2 * SAMPLES
-    by_part = rows.filter("kind IN (1, 2)").groupBy("part")
+    # one part per partition: hashing so few numbers would put several parts' blobs into one task
+    by_part = rows.filter("kind IN (1, 2)").repartitionById(parts, F.col("part")).groupBy("part")
 
     def seated(pdf: pd.DataFrame) -> pd.DataFrame:
         total, out = np.zeros(width), []
