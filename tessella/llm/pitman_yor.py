@@ -35,9 +35,9 @@ CONTEXTS = 256
 BURN, SAMPLES = 2, 3
 #: (discount, strength) of the context restaurants and of the word restaurant.
 LOWER, UPPER = (0.8, 1.0), (0.6, 1.0)
-BLOCK_BYTES, BLOCK_DOCS = 8_000_000, 32_000
-#: Word ranges that a part's task seats one after the other, to hold one at a time.
-RANGES = 6
+BLOCK_BYTES, BLOCK_DOCS = 3_000_000, 32_000
+#: Parts for each shuffle partition of the session, and word ranges that a part's task seats one after the other.
+PARTS, RANGES = 2, 3
 #: A word with this share of a block's tokens is frequent there.
 HOT = 0.004
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -271,7 +271,7 @@ def _add(sums: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> None:
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows not held out."""
     spark = docs.sparkSession
-    parts = parallelism(spark)
+    parts = PARTS * parallelism(spark)
     rows = materialise(blocks(docs, held_out, parts, id_col, text_col), "tokens")
     width = 1 + CONTEXTS * (1 + SAMPLES) + 2 * SAMPLES
     # one part per partition: hashing so few numbers would put several parts' blobs into one task
