@@ -153,6 +153,50 @@ SQL: dict[str, str | tuple[str, str]] = {
     "e15_array_functions": ("SELECT vec_id, size(filter(embedding, x -> x > 0)) AS pos, round(aggregate(transform(embedding, x -> CAST(x AS DOUBLE) * x), CAST(0 AS DOUBLE), (a, x) -> a + x), 4) AS sq FROM embeddings", "SELECT vec_id, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INT) AS pos, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS sq FROM embeddings"),
     "f11_array_predicates": ("SELECT vec_id FROM embeddings WHERE exists(embedding, x -> x > 0.35) AND NOT forall(embedding, x -> x > -0.3)", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.35)) > 0 AND len(list_filter(embedding, lambda x: x > -0.3)) < len(embedding)"),
     "e16_array_sets": ("SELECT o_custkey, array_join(array_sort(array_union(collect_set(o_orderstatus), collect_set(o_orderpriority))), '|') AS u FROM orders GROUP BY o_custkey", "SELECT o_custkey, array_to_string(list_sort(list_distinct(list_concat(list(o_orderstatus), list(o_orderpriority)))), '|') AS u FROM orders GROUP BY o_custkey"),
+    # names of the dialects beside the operators above
+    "j1_merge_hint": "SELECT /*+ MERGE(c) */ c.c_mktsegment, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment",
+    "j1_shuffle_hash_hint": "SELECT /*+ SHUFFLE_HASH(c) */ c.c_nationkey, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey",
+    "a4_group_by": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_orderdate) AS latest FROM orders GROUP BY o_orderstatus, o_orderpriority",
+    "w11_named_window": "SELECT o_orderkey, row_number() OVER w AS r, round(avg(o_totalprice) OVER w, 4) AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "q6_pipeline": "WITH matched AS (SELECT * FROM lineitem WHERE l_quantity >= 10), grouped AS (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS s FROM matched GROUP BY l_orderkey), kept AS (SELECT * FROM grouped WHERE n >= 3) SELECT n, count(*) AS orders, round(avg(s), 2) AS m FROM kept GROUP BY n",
+    "a9_approximate": ("SELECT event_type, approx_percentile(value, 0.5, 1000000) AS med FROM events GROUP BY event_type", "SELECT event_type, quantile_disc(value, 0.5) AS med FROM events GROUP BY event_type"),
+    "a11_array_agg": (
+        "SELECT o_custkey, array_join(transform(array_sort(array_agg(o_orderkey)), x -> CAST(x AS STRING)), ',') AS keys FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS keys FROM orders GROUP BY o_custkey",
+    ),
+    "a11_json_agg": (
+        "SELECT n_regionkey, to_json(array_sort(collect_list(named_struct('id', n_nationkey, 'name', n_name)))) AS j FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, CAST(to_json(list({'id': n_nationkey, 'name': n_name} ORDER BY n_nationkey)) AS VARCHAR) AS j FROM nation GROUP BY n_regionkey",
+    ),
+    "f12_type": (
+        "SELECT event_id, schema_of_variant(variant_get(parse_json(props), '$.k')) = 'BIGINT' AS whole FROM events",
+        "SELECT event_id, json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') AS whole FROM events",
+    ),
+    "e5_try_cast": (
+        "SELECT event_id, try_cast(event_type AS DOUBLE) AS d, try_cast(get_json_object(props, '$.k') AS BIGINT) AS i FROM events",
+        "SELECT event_id, try_cast(event_type AS DOUBLE) AS d, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS i FROM events",
+    ),
+    "e8_iso_week": (
+        "SELECT CAST(extract(YEAROFWEEK FROM o_orderdate) AS INT) AS y, CAST(weekofyear(o_orderdate) AS INT) AS w, count(*) AS n FROM orders GROUP BY 1, 2",
+        "SELECT CAST(isoyear(o_orderdate) AS INT) AS y, CAST(week(o_orderdate) AS INT) AS w, count(*) AS n FROM orders GROUP BY 1, 2",
+    ),
+    "e9_age": (
+        "SELECT o_orderkey, timestampdiff(DAY, o_orderdate, TIMESTAMP_NTZ '2001-09-01 00:00:00') AS days, timestampdiff(MONTH, o_orderdate, TIMESTAMP_NTZ '2001-09-01 00:00:00') AS months FROM orders",
+        "SELECT o_orderkey, date_sub('day', o_orderdate, TIMESTAMP '2001-09-01 00:00:00') AS days, date_sub('month', o_orderdate, TIMESTAMP '2001-09-01 00:00:00') AS months FROM orders",
+    ),
+    "e12_object_to_array": (
+        "SELECT event_id, x.key AS k, x.value AS v FROM (SELECT event_id, explode(map_entries(from_json(props, 'map<string,string>'))) AS x FROM events)",
+        "SELECT event_id, k, json_extract_string(props, '$.' || k) AS v FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
+    ),
+    "p3_merge_objects": (
+        "SELECT event_id, m['k'] AS k, m['type'] AS t FROM (SELECT event_id, map_concat(from_json(props, 'map<string,string>'), map('type', event_type)) AS m FROM events)",
+        "SELECT event_id, json_extract_string(m, '$.k') AS k, json_extract_string(m, '$.type') AS t FROM (SELECT event_id, json_merge_patch(props, json_object('type', event_type)) AS m FROM events)",
+    ),
+    "e15_range_reduce": (
+        "SELECT p_partkey, aggregate(sequence(1, p_size), CAST(0 AS BIGINT), (a, x) -> a + x * x) AS s FROM part WHERE p_size >= 1",
+        "SELECT p_partkey, CAST(list_sum(list_transform(range(1, p_size + 1), lambda x: x * x)) AS BIGINT) AS s FROM part WHERE p_size >= 1",
+    ),
+    "e17_let": "SELECT p_partkey, 'fixed' AS tag, round(gross - net, 6) AS tax FROM (SELECT p_partkey, p_retailprice AS net, p_retailprice * 1.2 AS gross FROM part) t",
 }
 
 

@@ -124,6 +124,53 @@ def g7_triangles(spark, d):
     return G.triangles(_edges(spark, d))
 
 
+def f11_quantifiers(spark, d):
+    """ANY, NONE, SINGLE and ALL over an order's lines."""
+    n = lambda test: F.size(F.filter("lines", test))
+    return _orders_doc(spark, d).select(
+        "o_orderkey", F.exists("lines", lambda x: x["l_quantity"] > 45).alias("some"), (~F.exists("lines", lambda x: x["l_quantity"] < 5)).alias("none"),
+        (n(lambda x: x["l_quantity"] == 50) == 1).alias("single"), F.forall("lines", lambda x: x["l_quantity"] >= 10).alias("every"),
+    )
+
+
+def f11_all(spark, d):
+    kinds = _t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("kinds"))
+    return kinds.filter(D.all_of("kinds", ["F", "O"])).select("o_custkey")
+
+
+def f4_document_not_in(spark, d):
+    """Missing values pass $ne and $nin."""
+    c = _t(spark, d, "customer").select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"))
+    return c.filter(D.ne("segment", "MACHINERY") & D.not_in("segment", ["HOUSEHOLD", "FURNITURE"]))
+
+
+def e16_sort_array(spark, d):
+    best = F.sort_array(F.transform("lines", lambda x: F.struct(x["l_extendedprice"].alias("p"), x["l_partkey"].alias("k"))), asc=False)
+    return _orders_doc(spark, d).select("o_orderkey", F.get(best, F.lit(0))["k"].alias("dearest"))
+
+
+def d5_set_fields(spark, d):
+    """$set and $unset of nested fields, $inc, $push and $addToSet."""
+    c = D.embed_one(_t(spark, d, "customer"), _t(spark, d, "nation"), "c_nationkey", "n_nationkey", "nation").withColumn("tags", F.array("c_mktsegment"))
+    c = c.withColumn("nation", F.col("nation").withField("n_name", F.lower("nation.n_name")).dropFields("n_regionkey")).withColumn("c_acctbal", F.col("c_acctbal") + 10)
+    c = c.withColumn("tags", D.push("tags", F.lit("new"))).withColumn("tags", D.add_to_set("tags", F.lit("BUILDING")))
+    return c.select("c_custkey", "c_acctbal", "nation.*", F.array_join("tags", ",").alias("tags"))
+
+
+def u1_union_with(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+def g5_path_functions(spark, d):
+    """length(), nodes() and relationships() of two-edge paths."""
+    e = _edges(spark, d)
+    paths = G.variable_paths(e.filter(F.col("src").isin(*STARTS)).select("src").distinct(), e, 2, 2)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
+    return paths.select("src", "dst", F.size("path").alias("hops"), listed("nodes").alias("nodes"), listed("path").alias("edges"))
+
+
 def _c(spark, d):
     return _t(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
 
@@ -201,6 +248,13 @@ ORACLE = {
         m AS (SELECT src, dst, min(len(nodes)) AS l FROM p GROUP BY 1, 2) SELECT p.src, p.dst, count(*) AS n, CAST(min(m.l) - 1 AS INT) AS hops FROM p JOIN m ON p.src = m.src AND p.dst = m.dst AND len(p.nodes) = m.l GROUP BY 1, 2""",
     "g6_pattern_comprehension": f"SELECT CAST(n_nationkey AS BIGINT) AS src, string_agg(DISTINCT CAST(dst AS VARCHAR), ',' ORDER BY CAST(dst AS VARCHAR)) AS friends FROM nation LEFT JOIN {_E} e ON e.src = n_nationkey GROUP BY 1",
     "g7_triangles": f"WITH e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM {_E} WHERE src <> dst) SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v",
+    "f11_quantifiers": f"SELECT o_orderkey, count(*) FILTER (WHERE l_quantity > 45) > 0 AS some, count(*) FILTER (WHERE l_quantity < 5) = 0 AS none, count(*) FILTER (WHERE l_quantity = 50) = 1 AS single, count(*) FILTER (WHERE l_quantity < 10) = 0 AS every FROM {_L} GROUP BY o_orderkey",
+    "f11_all": "SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 2",
+    "f4_document_not_in": "SELECT c_custkey, segment FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer) WHERE segment IS NULL OR segment NOT IN ('MACHINERY', 'HOUSEHOLD', 'FURNITURE')",
+    "e16_sort_array": f"SELECT o_orderkey, first(l_partkey ORDER BY l_extendedprice DESC, l_partkey DESC) AS dearest FROM {_L} GROUP BY o_orderkey",
+    "d5_set_fields": "SELECT c_custkey, c_acctbal + 10 AS c_acctbal, n_nationkey, lower(n_name) AS n_name, c_mktsegment || ',new' || CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE ',BUILDING' END AS tags FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey",
+    "u1_union_with": "SELECT c_custkey AS id, c_mktsegment AS segment, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier",
+    "g5_path_functions": f"SELECT a.src, b.dst, 2 AS hops, a.src || '-' || a.dst || '-' || b.dst AS nodes, a.id || '-' || b.id AS edges FROM {_E} a JOIN {_E} b ON a.dst = b.src AND a.id <> b.id WHERE a.src IN {_S}",
     "d1_insert": "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT c_custkey + 1000000, 'new', c_acctbal FROM customer WHERE c_custkey = 1",
     "d2_insert_select": "SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_name), s_name, s_acctbal FROM supplier",
     "d3_upsert": f"SELECT coalesce(c_custkey, k) AS c_custkey, coalesce(c_name, n) AS c_name, CASE WHEN c_custkey IS NULL OR b > c_acctbal THEN b ELSE c_acctbal END AS c_acctbal FROM customer FULL OUTER JOIN {_NEW} ON c_custkey = k",
