@@ -102,6 +102,69 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     return rows.crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+@dataclass
+class Selectivity:
+    """Estimated shares of a numeric column's rows, from its TOP values and BINS counts; all that is kept has a fixed size."""
+
+    n: int
+    present: int
+    distinct: int
+    least: float
+    greatest: float
+    top: dict
+    bins: list[int]
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> Selectivity:
+        x = F.col(column)
+        n, present, distinct, least, greatest = df.agg(F.count("*"), F.count(x), F.approx_count_distinct(x), F.min(x.cast("double")), F.max(x.cast("double"))).first()
+        bins = {r["bin"]: r["n"] for r in histogram(df, column).collect()}
+        return cls(n, present, distinct, least, greatest, {r["value"]: r["n"] for r in top_values(df, column).collect()}, [bins.get(k, 0) for k in range(BINS)])
+
+    def null(self) -> float:
+        return 1 - self.present / self.n if self.n else 0.0
+
+    def equals(self, value) -> float:
+        """Exact for a frequent value; others share what is left evenly."""
+        if not self.present or not self.least <= float(value) <= self.greatest:
+            return 0.0
+        if value in self.top:
+            return self.top[value] / self.n
+        rest, kinds = self.present - sum(self.top.values()), self.distinct - len(self.top)
+        return max(rest, 0) / max(kinds, 1) / self.n
+
+    def among(self, values) -> float:
+        return min(1.0, sum(self.equals(v) for v in set(values)))
+
+    def between(self, low: float, high: float) -> float:
+        """Whole bins and even shares of the bins at both ends."""
+        if not self.present or high < low or high < self.least or low > self.greatest:
+            return 0.0
+        if self.greatest == self.least:
+            return self.present / self.n
+        width = (self.greatest - self.least) / BINS
+        parts = (max(0.0, min(high, self.least + (k + 1) * width) - max(low, self.least + k * width)) / width for k in range(BINS))
+        return max(sum(c * p for c, p in zip(self.bins, parts, strict=True)) / self.n, self.equals(low) if low == high else 0.0)
+
+    @staticmethod
+    def both(*shares: float) -> float:
+        """Conditions taken as independent."""
+        return math.prod(shares)
+
+    @staticmethod
+    def either(*shares: float) -> float:
+        return 1 - math.prod(1 - x for x in shares)
+
+
+def range_selectivity(df: DataFrame, column: str, low: float, high: float, bins: int = BINS) -> DataFrame:
+    """``Selectivity.between`` as one row (rows, share), from a histogram that stays distributed."""
+    rows = df.agg(F.count("*").alias("n_all"), F.min(F.col(column).cast("double")).alias("lo"), F.max(F.col(column).cast("double")).alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    start = F.col("lo") + F.col("bin") * width
+    part = F.when(width == 0, ((F.col("lo") >= low) & (F.col("lo") <= high)).cast("double")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(high)), start + width) - F.greatest(F.lit(float(low)), start)) / width)
+    return histogram(df, column, bins).crossJoin(F.broadcast(rows)).agg(F.max("n_all").alias("n"), F.round(F.sum(F.col("n") * part) / F.max("n_all"), 6).alias("share"))
+
+
 def _t(spark, d, name):
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
@@ -118,9 +181,16 @@ def x3_histogram(spark, d):
     return histogram(_t(spark, d, "lineitem"), "l_quantity")
 
 
-QUERIES = {f.__name__: f for f in (x1_statistics, x2_top_values, x3_histogram)}
+def x4_selectivity(spark, d):
+    return range_selectivity(_t(spark, d, "orders"), "o_totalprice", 120_000, 310_000)
+
+
+QUERIES = {f.__name__: f for f in (x1_statistics, x2_top_values, x3_histogram, x4_selectivity)}
 ORACLE = {
     "x1_statistics": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count({c}) AS present, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM orders" for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")),
     "x2_top_values": "SELECT l_partkey AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 16",
+    "x4_selectivity": """WITH e AS (SELECT count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, (max(o_totalprice) - min(o_totalprice)) / 12 AS w FROM orders),
+        b AS (SELECT least(11, floor((o_totalprice - lo) / w)) AS k, count(*) AS c FROM orders, e GROUP BY 1)
+        SELECT max(n) AS n, round(sum(c * greatest(0, least(310000, lo + (k + 1) * w) - greatest(120000, lo + k * w)) / w) / max(n), 6) AS share FROM b, e""",
     "x3_histogram": "SELECT CAST(least(11, floor((l_quantity - lo) / (hi - lo) * 12)) AS INT) AS bin, count(*) AS n FROM lineitem, (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem) GROUP BY 1",
 }

@@ -132,3 +132,15 @@ def test_table_placement_is_optimal():
     want = min(w._sum(r, s) for s in states if (r := placement.derive(w, s)) is not None)
     kept, routing, cost = placement.place_tables(w, frozenset((t, "R") for t in "abc"), iterations=4000)
     assert cost == pytest.approx(want) and routing == placement.derive(w, kept)
+
+
+def test_selectivity_is_near_the_true_share(spark):
+    rows = spark.createDataFrame([(float(k % 50) if k % 10 else None, k) for k in range(2000)], "x double, k long")
+    s = inspection.Selectivity.of(rows, "x")
+    assert s.null() == pytest.approx(0.1) and s.between(0, 49) == pytest.approx(0.9)
+    assert s.equals(7.0) == pytest.approx(0.02, rel=0.3) and s.equals(99.0) == 0 and s.between(60, 70) == 0 and s.between(9, 3) == 0
+    assert s.between(10, 30) == pytest.approx(rows.filter("x BETWEEN 10 AND 30").count() / 2000, abs=0.03)
+    assert s.among([1.0, 2.0, 2.0]) == pytest.approx(0.04, rel=0.3)
+    assert s.both(0.5, 0.5) == 0.25 and s.either(0.5, 0.5) == 0.75
+    none = inspection.Selectivity.of(rows.filter("false"), "x")
+    assert none.null() == none.equals(1.0) == none.between(0, 9) == 0
