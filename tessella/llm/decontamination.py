@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 One scan of the documents, as ids over the benchmark's own vocabulary (0 for any other word), finds every seed
 (``SEED`` consecutive words of an item) and returns, for each document and item that share one, the stretch of
-document ids around it. Seeds are then counted over all documents; an item's rarer half (``FEWEST`` at least)
-joins, so an item whose every n-gram is common is still found. Each joined pair is aligned: +1 for an equal
+document ids around it. Any one seed will do: an edited copy keeps few, and not the rare ones. A stretch whose
+words cannot reach the score is dropped by a bound that never lies below it. The others are aligned: +1 for an equal
 word, -1 for a different one or a gap. ``LEAST`` of the item's own score makes a leak: 0.6 is an identity of
 0.8 where words were replaced. Words are lower case, ASCII punctuation separates them.
 
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import materialise, parallelism, small_batches, table, utf8
 
 SEED = 3
-FEWEST = 8
 LEAST = 0.6
 BLOCK = 32_000_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -104,14 +103,25 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _stretches(seeds: Seeds, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, item_id, start, ids, seeds) of each stretch of a document that shares a seed with an item."""
-    schema = "doc_id long, item_id long, start long, ids binary, seeds array<int>"
+def bound(item: np.ndarray, text: np.ndarray, there: np.ndarray) -> int:
+    """At least the score of any local alignment: an item's word that the text lacks costs 1 wherever it is passed.
+
+    ``there`` is all false, one place per word of the vocabulary, and is left so.
+    """
+    there[text] = True
+    gain = np.concatenate([[0], np.cumsum(np.where(there[item], 1, -1))])
+    there[text] = False
+    return int((gain - np.minimum.accumulate(gain)).max())
+
+
+def _stretches(seeds: Seeds, docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, item_id, start, ids) of each stretch of a document that shares a seed with an item and may reach ``least``."""
+    schema = "doc_id long, item_id long, start long, ids binary"
 
     def run(batches):
-        get = seeds.vocabulary.get
+        get, there = seeds.vocabulary.get, np.zeros(seeds.size, dtype=bool)
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = words(text)
                 ids = np.fromiter(map(get, own, repeat(0)), dtype=np.int32, count=len(own))
@@ -119,50 +129,39 @@ def _stretches(seeds: Seeds, docs: DataFrame, id_col: str, text_col: str) -> Dat
                 for p, s in seeds.hits(ids):
                     for item, q in seeds.at[s]:
                         m = len(seeds.items[item])
-                        spans[item].append((max(0, p - q - m // 2), min(len(ids), p - q + m + m // 2), s))
+                        spans[item].append((max(0, p - q - m // 2), min(len(ids), p - q + m + m // 2)))
                 for item, found in spans.items():
                     found.sort()
                     merged: list[list] = []
-                    for lo, hi, s in found:
+                    for lo, hi in found:
                         if merged and lo <= merged[-1][1]:
                             merged[-1][1] = max(hi, merged[-1][1])
-                            merged[-1][2].add(s)
                         else:
-                            merged.append([lo, hi, {s}])
-                    for lo, hi, s in merged:
-                        for c, v in zip(out, (doc, item, lo, ids[lo:hi].tobytes(), sorted(s)), strict=True):
-                            c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "item_id", "start", "ids", "seeds"])
+                            merged.append([lo, hi])
+                    own_item = seeds.items[item]
+                    for lo, hi in merged:
+                        if bound(own_item, ids[lo:hi], there) >= least * len(own_item):
+                            for c, v in zip(out, (doc, item, lo, ids[lo:hi].tobytes()), strict=True):
+                                c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "item_id", "start", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col)).mapInArrow(run, schema)
 
 
 def _leaks(seeds: Seeds, docs: DataFrame, least: float, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    found = materialise(_stretches(seeds, docs, id_col, text_col), "stretches")
-    counts = {r.s: r["count"] for r in found.select(F.explode("seeds").alias("s")).groupBy("s").count().collect()}
-    rare: list[tuple[int, int]] = []
-    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for s, where in enumerate(seeds.at):
-        for item in {i for i, _ in where}:
-            by_item[item].append((counts.get(s, 0), s))
-    for item, own in by_item.items():
-        rare += [(item, s) for _, s in sorted(own)[: max(FEWEST, (len(own) + 1) // 2)]]
-    chosen = defaultdict(set)
-    for item, s in rare:
-        chosen[item].add(s)
+    found = materialise(_stretches(seeds, docs, least, id_col, text_col), "stretches")
     schema = "doc_id long, item_id long, score double, start long, end long"
 
     def run(frames):
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                if not chosen[r.item_id].isdisjoint(r.seeds):
-                    item = seeds.items[r.item_id]
-                    score, lo, hi = align(item, np.frombuffer(r.ids, dtype=np.int32))
-                    if score >= least * len(item):
-                        out.append((r.doc_id, r.item_id, score / len(item), r.start + lo, r.start + hi))
+                item = seeds.items[r.item_id]
+                score, lo, hi = align(item, np.frombuffer(r.ids, dtype=np.int32))
+                if score >= least * len(item):
+                    out.append((r.doc_id, r.item_id, score / len(item), r.start + lo, r.start + hi))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "start", "end"]).astype({"doc_id": "Int64", "item_id": "int64", "score": "float64", "start": "int64", "end": "int64"})
 
     aligned = found.repartition(parallelism(spark)).mapInPandas(run, schema)

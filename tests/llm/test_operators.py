@@ -208,6 +208,24 @@ def test_decontamination(spark, empty):
     assert decontamination.leaks(table, bench.limit(0)).count() == 0 and decontamination.leaks(empty, bench).count() == 0
 
 
+def test_decontamination_finds_edited_copies(spark):
+    item = [f"w{k}" for k in range(40)]
+    edited = ["zzz" if k % 5 == 4 else w for k, w in enumerate(item)]
+    texts = [prose(50, 603) + " " + " ".join(edited) + " " + prose(50, 604), *[" ".join(item)] * 3, " ".join(item[:20])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id: r.score for r in decontamination.leaks(table.filter("doc_id = 0"), bench).collect()} == {0: 25 / 40}
+    assert {r.doc_id for r in decontamination.leaks(table, bench).collect()} == {0, 1, 2, 3}
+
+
+def test_decontamination_bound_is_never_below_the_score():
+    rng = np.random.default_rng(10)
+    for _ in range(300):
+        a, b = rng.integers(1, 9, rng.integers(1, 12)), rng.integers(0, 9, rng.integers(1, 12))
+        there = np.zeros(9, dtype=bool)
+        assert decontamination.bound(a, b, there) >= decontamination.align(a, b)[0] and not there.any()
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(8)
     for _ in range(60):
