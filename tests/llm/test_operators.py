@@ -243,6 +243,19 @@ def test_chaining(docs, empty):
     assert chaining.passages(empty).count() == 0
 
 
+def test_chain_is_cut_into_its_passages(spark):
+    one, two = prose(60, 700), prose(60, 701)
+    for gap, other in ((100, 100), (120, 160)):
+        texts = [one + " " + prose(gap, 702) + " " + two, one + " " + prose(other, 703) + " " + two]
+        got = chaining.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert sorted(sorted([(r.start, r.end), (r.other_start, r.other_end)]) for r in got) == [[(0, 60), (0, 60)], [(60 + min(gap, other), 120 + min(gap, other)), (60 + max(gap, other), 120 + max(gap, other))]]
+        assert all(r.identity == 1 for r in got)
+
+
+def test_maximal_segments():
+    assert chaining.maximal([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1), (2, 3), (4, 11)]
+
+
 def test_chain_score_is_best():
     rng = np.random.default_rng(9)
     for _ in range(40):
