@@ -252,6 +252,28 @@ def test_chain_is_cut_into_its_passages(spark):
         assert all(r.identity == 1 for r in got)
 
 
+def test_chaining_finds_short_fuzzy_passages(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for k in range(60):
+        own = [f"p{k}w{i}" for i in range(50)]
+        where = range(4, 49, 5) if k % 3 == 0 else rng.choice(np.arange(1, 49), 5 if k % 3 == 1 else 8, replace=False)
+        other = [f"q{k}r{i}" if i in set(where) else w for i, w in enumerate(own)]
+        texts += [prose(30, 800 + k) + " " + " ".join(own) + " " + prose(30, 900 + k), prose(30, 1000 + k) + " " + " ".join(other) + " " + prose(30, 1100 + k)]
+    got = {frozenset((r.doc_id // 2, r.other_id // 2)) for r in chaining.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.doc_id // 2 == r.other_id // 2}
+    assert got == {frozenset((k,)) for k in range(60)}
+
+
+def test_thinned_matches_cover_the_same_words():
+    rng = np.random.default_rng(13)
+    for _ in range(50):
+        at = np.flatnonzero(rng.random(60) < 0.7)
+        a, b = np.concatenate([at, at]), np.concatenate([at + 3, at + 9])
+        kept = chaining.thinned(a, b)
+        words = lambda x, y: {(p + i, q + i) for p, q in zip(x.tolist(), y.tolist(), strict=True) for i in range(chaining.K)}
+        assert words(a[kept], b[kept]) == words(a, b) and len(kept) <= len(a)
+
+
 def test_maximal_segments():
     assert chaining.maximal([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1), (2, 3), (4, 11)]
 
