@@ -353,6 +353,28 @@ def test_pipeline(spark):
     assert hashlib.sha256(repr(sorted(map(tuple, out))).encode()).hexdigest() == hashlib.sha256(repr(sorted(map(tuple, corpus_pipeline.run(spark, d).collect()))).encode()).hexdigest()
 
 
+def test_pipeline_drops_near_copies_of_similarity_08(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(14)
+    rows, near = [], 0
+    for k in range(60):
+        own = [f"p{k}w{i}" for i in range(300)]
+        other = list(own)
+        for i in rng.choice(300, (3, 6, 12)[k % 3], replace=False):
+            other[i] = f"q{k}r{i}"
+        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (own, other))
+        near += len(a & b) / len(a | b) >= 0.8
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect()}
+    assert near >= 40 and len(kept) == 120 - near and kept >= set(range(0, 120, 2))
+    assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    texts = [" ".join((r.text or "").lower().split()) for r in left]
+    assert len(texts) == len(set(texts)) and set(texts) | {None} >= {" ".join((prose(40 + k, k)).split()) for k in range(20)}
+
+
 def test_language_sample_is_the_first_by_hash(spark, monkeypatch):
     from tessella.llm import language as L
 
