@@ -18,7 +18,8 @@ of equal vectors can be among a query's k nearest, so only the k + 1 smallest id
 
 Defined results: vectors that are null, zero, hold null or non-finite components or differ in length from
 most others take no part, neither do rows without id; ties go to the smaller id; repeated ids are separate
-rows and a query skips all rows of its own id; no other vectors gives no rows; an empty table gives none.
+rows and a query skips all rows of its own id; query rows equal in id and vector are one query, and those equal in
+id alone are queries of their own, each with its k nearest under the shared id; no other vectors gives no rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -113,9 +114,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query row."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
+    rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).distinct()
+    # tells queries of one id apart: the place of each among them
+    asked = asked.withColumn("nth", F.row_number().over(W.partitionBy("vec_id").orderBy("v")))
     n = rows.count()
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, nth int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # The first by hash, from a range of hashes that holds about twice as many: tasks then send few rows that others beat.
@@ -136,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
             ids, x = rows.vec_id.to_numpy(), np.stack(rows.v.to_numpy())
             index, width = Index(encode(model, x)), bits
             qx = np.stack(asked.v.to_numpy())
-            for q, y, code in zip(asked.vec_id.to_numpy(), qx, encode(model, qx), strict=True):
+            for q, nth, y, code in zip(asked.vec_id.to_numpy(), asked.nth.tolist(), qx, encode(model, qx), strict=True):
                 radius = model["radius"]
                 while True:
                     got = index.within(code, min(radius, width))
@@ -147,11 +150,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
                 gap = x[got] - y
                 dist = np.sqrt((gap * gap).sum(axis=1))
                 best = np.lexsort((ids[got], dist))[:k]
-                out += zip([int(q)] * len(best), ids[got][best].tolist(), dist[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out += zip([int(q)] * len(best), [nth] * len(best), ids[got][best].tolist(), dist[best].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["query_id", "nth", "vec_id", "score"]).astype({"query_id": "int64", "nth": "int32", "vec_id": "int64", "score": "float64"})
 
     found = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(run, schema)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "nth").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

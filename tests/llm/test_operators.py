@@ -197,6 +197,17 @@ def test_search_recall(spark):
     assert mih.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_search_repeated_queries(spark):
+    x = np.random.default_rng(15).standard_normal((300, 16))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one, other = table.filter("vec_id = 100"), table.filter("vec_id = 200").selectExpr("100L AS vec_id", "embedding")
+    want = sorted((r["rank"], r.vec_id) for r in mih.search(table, one).collect())
+    assert len(want) == 10
+    assert sorted((r["rank"], r.vec_id) for r in mih.search(table, one.union(one)).collect()) == want
+    both = sorted((r["rank"], r.vec_id) for r in mih.search(table, one.union(other).union(one)).collect())
+    assert both == sorted(want + [(r["rank"], r.vec_id) for r in mih.search(table, other).collect()])
+
+
 def test_decontamination(spark, empty):
     items = [(k, prose(20 + k, 500 + k)) for k in range(12)]
     edited = items[4][1].split()
