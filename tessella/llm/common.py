@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master has a temporary folder of its own; a cluster has none, which is an error.
+    """
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"file://{os.path.abspath(tempfile.gettempdir())}/checkpoints"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again; cuts the lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it again; cuts the lineage and survives lost executors.
+
+    The folder goes when the driver ends, or earlier by ``discard``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, where = _files(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, when nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        files, where = _files(df.sparkSession, path)
+        files.delete(where, True)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ARROW_ROWS rows: texts have no length limit."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Hold the session's Arrow batches to ARROW_ROWS rows: texts have no length limit. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def utf8(column: str):
@@ -41,3 +69,11 @@ def utf8(column: str):
 
 def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def private(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, with underscores before it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

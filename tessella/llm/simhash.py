@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, parallelism, small_batches, table, utf8
+from .common import discard, materialise, parallelism, private, small_batches, table, utf8
 
 SEED = 42
 SHINGLE = 3
@@ -32,6 +32,8 @@ MAX_BITS = 2
 #: Most fingerprints in a subtree of the cut, and fewest that are worth a cut.
 SUBTREE_MOST, SUBTREE_LEAST = 1 << 18, 1 << 11
 _STEP = 1 << 16
+#: Salts that a star's rows are dealt by, so that a hot centre is no hot task.
+SALTS = 8
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -232,16 +234,23 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds, each written to the shared folder, until a round changes nothing.
     """
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+        return salted.join(least.select("a", "m", salts), ["a", "salt"]).select("a", "b", "m")
+
     e = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(e)
     while before[0]:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = with_least(large, least)
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        e = materialise(small.distinct(), "edges")
+        older, e = e, materialise(small.distinct(), "edges")
+        discard(older)
         after = mark(e)
         if after == before:
             break
