@@ -33,11 +33,15 @@ SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 3_000_000
 ORDER = 3
 _PAD = b" " * ORDER
 _ASCII = re.compile(rb"[A-Za-z]")
-_LETTER = re.compile(r"[^\W\d_]")
 _DENSE = 1 << 22
 _BUCKET_BITS = 12
 
 
+def has_letter(text: bytes | None) -> bool:
+    """Whether a UTF-8 text has a character of a Unicode letter category (L); numbers such as one half have none."""
+    return bool(text) and (_ASCII.search(text) is not None or any(map(str.isalpha, text.decode("utf-8", "replace"))))
+
+
 def grams(data: np.ndarray, n: int) -> np.ndarray:
     """All n-grams of bytes as numbers, the last byte lowest."""
     out = np.zeros(max(0, len(data) - n + 1), dtype=np.uint32)
@@ -137,7 +141,7 @@ class Classifier:
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         out = [("und", 0.0)] * len(texts)
-        ask = [k for k, t in enumerate(texts) if t and (_ASCII.search(t) or _LETTER.search(t.decode("utf-8", "replace")))]
+        ask = [k for k, t in enumerate(texts) if has_letter(t)]
         if ask and self.languages:
             bits = self.bits([texts[k] for k in ask])
             best = bits.argmax(axis=1)
@@ -160,14 +164,15 @@ def _first(groups: DataFrame, order: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """Learn from the rows of ``docs`` that have a language."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.octet_length(text_col).cast("long").alias("n"), F.xxhash64(id_col).alias("h"))
+    docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), utf8(text_col).alias("t"))
+    rows = docs.select("i", "l", F.octet_length("t").cast("long").alias("n"), F.xxhash64("i").alias("h"))
     rows = rows.withColumn("b", F.shiftright("h", 64 - _BUCKET_BITS))
     # Rows and bytes per bucket of the hash tell which buckets the sample reaches: only their rows are ordered.
     reached = _first(rows.groupBy("l", "b").agg(F.count("*").alias("c"), F.sum("n").alias("s")), ["b"]).select("l", "b")
     few = rows.join(F.broadcast(reached), ["l", "b"], "left_semi").groupBy("l", "i", "n", "h").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    chosen = _first(few, ["h", "i", "n"]).select(F.col("i").alias("__i"), F.col("l").alias("__l"), F.col("n").alias("__n"))
-    same = F.col(id_col).eqNullSafe(F.col("__i")) & (F.col(lang_col) == F.col("__l")) & (F.octet_length(text_col) == F.col("__n"))
-    found = docs.join(F.broadcast(chosen), same, "left_semi").groupBy(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.octet_length(text_col).alias("n")).agg(F.min(utf8(text_col)).alias("t"))
+    chosen = _first(few, ["h", "i", "n"]).select(F.col("i").alias("ci"), F.col("l").alias("cl"), F.col("n").alias("cn"))
+    same = F.col("i").eqNullSafe(F.col("ci")) & (F.col("l") == F.col("cl")) & (F.octet_length("t") == F.col("cn"))
+    found = docs.join(F.broadcast(chosen), same, "left_semi").groupBy("i", "l", F.octet_length("t").alias("n")).agg(F.min("t").alias("t"))
     texts: dict[str, list[bytes]] = {}
     for r in found.select("l", "t").toLocalIterator():
         texts.setdefault(r.l, []).append(bytes(r.t))
