@@ -4,13 +4,15 @@ One weight vector over hashed features is shared by all grades and ordered thres
 score: P(grade > g) = sigmoid(w.x - t_g). Features of a text: each distinct word (lower case), and the share of
 its words that have each shape, where a shape is the word with runs of letters and digits collapsed. The fit is
 FTRL-proximal with L1, so words that say nothing keep weight zero, and it uses at most ``sample`` labelled rows,
-the first by a hash of their id; each of those texts is read whole. Scoring covers every row.
+the first by a hash of their id, each once (of different texts under one id the smallest); those texts are read
+whole. Scoring covers every row.
 
 Grades from the label table: 0 toxic, 1 not toxic but of low quality, 2 neither.
 
 Defined results: a null or empty text has no features and gets the grade of the intercept; repeated rows
 are scored each; rows without label are scored, labels without row are ignored, a null label is no label; with no usable label every
-text gets the middle grade and is kept; an empty table gives an empty result; other columns are ignored.
+text gets the middle grade and is kept; an empty table gives an empty result; other columns are passed on, and where
+one has the name of a column in OUT, the new one gets underscores before it (``named``).
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, utf8
+from .common import private, small_batches, table, utf8
 
 DIM = 1 << 18
 SHAPES = 1 << 12
 #: Labelled rows that the fit may use at most.
 SAMPLE = 6_000
 GRADES = 3
-OUT = ("__quality_grade", "__quality_top", "__quality_keep")
+OUT = ("expected_grade", "p_top", "keep")
 _LETTERS, _DIGITS = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 _UPPER = re.compile(rb"[A-Z]{2,}")
 
@@ -123,6 +125,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int =
     small_batches(docs.sparkSession)
     order = ratings.select(F.col("doc_id"), "grade").filter("grade IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).join(F.broadcast(order), "doc_id")
+    named = named.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
 
     def run(batches):
         for b in batches:
@@ -130,18 +133,24 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.astype("<i4").tobytes() for g, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary()), b.column(2)], names=["doc_id", "i", "x", "grade"])
 
     drawn = named.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(run, "doc_id long, i binary, x binary, grade int").collect()
-    drawn.sort(key=lambda r: (r.doc_id, r.grade, r.i))
-    rows = [(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float), r.grade) for r in drawn][: 2 * sample]
+    drawn.sort(key=lambda r: r.doc_id)
+    rows = [(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float), r.grade) for r in drawn]
     model = CumulativeLink(grades)
     return model.fit(rows) if rows else model
 
 
+def named(docs: DataFrame) -> tuple[str, str, str]:
+    """The names under which ``scored`` adds its columns to ``docs``."""
+    return tuple(private(docs, c) for c in OUT)
+
+
 def scored(docs: DataFrame, model: CumulativeLink, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
-    """``docs`` with the columns OUT: expected grade, the highest grade's tail probability, and whether to keep.
+    """``docs`` with three more columns: expected grade, the highest grade's tail probability, and whether to keep.
 
     The model's non-zero weights go out with the task: at most as many as there are feature slots.
     """
     small_batches(docs.sparkSession)
+    grade, top, keep = named(docs)
     at = np.flatnonzero(model.w)
     weights, t, dim = model.w[at].astype(np.float32), model.t, len(model.w)
 
@@ -156,14 +165,18 @@ def scored(docs: DataFrame, model: CumulativeLink, text_col: str = "text", keep_
                 i, x = features(text)
                 scores.append(float(w[i] @ x))
             up = frozen.tails(np.array(scores))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(up.sum(axis=1)), pa.array(up[:, -1])], names=[*b.schema.names, *OUT[:2]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(up.sum(axis=1)), pa.array(up[:, -1])], names=[*b.schema.names, grade, top])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(grade, T.DoubleType()), T.StructField(top, T.DoubleType())])
+    return docs.mapInArrow(run, schema).withColumn(keep, F.col(top) >= keep_at)
+
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(OUT[0], T.DoubleType()), T.StructField(OUT[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema).withColumn(OUT[2], F.col(OUT[1]) >= keep_at)
+def kept(docs: DataFrame, model: CumulativeLink, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose chance of the best grade is at least ``keep_at``."""
+    return scored(docs, model, text_col, keep_at).filter(F.col(named(docs)[2])).select(*docs.columns)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs, ratings = table(spark, sf_dir, "documents"), graded(table(spark, sf_dir, "labels"))
     model = fit(docs, ratings)
-    out = scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", *(F.col(c).alias(n) for c, n in zip(OUT, ("expected_grade", "p_top", "keep"), strict=True)))
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", *OUT)
