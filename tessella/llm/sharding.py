@@ -1,41 +1,51 @@
 """Sharding over fixed virtual slots, in DataFrame functions only.
 
-A record's virtual slot is the CRC-32 of its id's text modulo a fixed number of slots and never changes.
+A record's virtual slot is a hash of its id, its size and its text's CRC modulo a fixed number of slots and never
+changes, so different texts under one id spread over the slots. Equal records that together hold more than a slot's
+even share of all bytes (at most as many kinds of them as there are slots) are spread over ``SPREAD`` slots by their
+places in the input, as no other mark tells them apart.
 Bytes and rows are added up per slot; a versioned map sends each slot to a shard. Version 1 deals the slots,
 largest first, each to the shard with the fewest bytes so far; ``rebalance`` edits a stored map into its next
 version and moves only the slots that it must. All of a map's work is on one row per slot, however many
-records there are.
+records there are. ``store`` keeps every version; records are placed by the map as stored.
 
-Defined results: a null text has no bytes (size 1) and the CRC of an empty text; a null id hashes as empty;
+Defined results: a null text has no bytes (size 1) and the CRC of an empty text; a null id is hashed as a null;
 repeated rows are separate records with slots of their own place; ties go to the smaller slot and shard;
 an empty table gives an empty result; columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import table
+from .common import shared_dir, table
 
 SLOTS = 4096
 SHARDS = 8
-
-
-def virtual_slot(id_col: str, slots: int = SLOTS) -> Column:
-    return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % slots).cast("int")
+#: Slots that equal records may go to where they are many.
+SPREAD = 1024
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, vslot) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
+    kind = ["doc_id", "size", "text_crc32"]
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        virtual_slot(id_col, slots).alias("vslot"),
     )
+    kinds = rows.groupBy(kind).agg(F.sum("size").alias("bytes"))
+    many = kinds.crossJoin(F.broadcast(rows.agg(F.sum("size").alias("all")))).filter(F.col("bytes") * slots > F.col("all")).filter(F.col("bytes") > F.col("size"))
+    many = many.select(*(F.col(c).alias(f"m_{c}") for c in kind), F.lit(SPREAD).alias("spread"))
+    same = F.col("doc_id").eqNullSafe(F.col("m_doc_id")) & (F.col("size") == F.col("m_size")) & (F.col("text_crc32") == F.col("m_text_crc32"))
+    placed = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(many), same, "left")
+    nth = F.coalesce(F.col("at") % F.col("spread"), F.lit(0))
+    return placed.select(*kind, F.pmod(F.xxhash64(*kind, nth), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_stats(rows: DataFrame) -> DataFrame:
@@ -78,11 +88,19 @@ def rebalance(current: DataFrame, shards: int, version: int) -> DataFrame:
     return kept.filter("kept").select("vslot", "shard", "bytes", "n_rows").unionByName(given).withColumn("version", F.lit(version))
 
 
+_MAP = "vslot int, shard int, bytes long, n_rows long, version int"
+
+
 def store(slot_map: DataFrame, path: str) -> None:
     """Add a version to the stored map; earlier versions stay readable below ``version=``."""
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
+def stored(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """One version of a stored map."""
+    return spark.read.schema(_MAP).parquet(path).filter(F.col("version") == version)
+
+
 def places(slot_map: DataFrame) -> DataFrame:
     """(vslot, shard, before): how many records of the shard stand in earlier slots."""
     w = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
@@ -102,5 +120,10 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:
     rows = records(table(spark, sf_dir, "documents"))
-    placed = assign(rows, deal(slot_stats(rows)))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    path = f"{shared_dir(spark)}/tessella/slot-map-{uuid.uuid4().hex}"
+    store(deal(slot_stats(rows)), path)
+    store(rebalance(stored(spark, path, 1), SHARDS + 1, 2), path)
+    placed = assign(rows, stored(spark, path, 1))
+    grown = stored(spark, path, 2).select("vslot", F.col("shard").alias("shard_v2"))
+    placed = placed.join(F.broadcast(grown), "vslot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "shard_v2")
