@@ -7,24 +7,35 @@ bits are dropped, and each remaining pair is one unit of work that walks both su
 returns a spanning forest of its links, never the links themselves, so its output is linear in its input.
 The forests meet in a distributed large-star/small-star connected-components loop.
 
+``similar_dropped`` is the same join for texts alike by ``LEAST`` (Jaccard similarity of five-word shingles), where
+64 bits and a few errors are too few. A set of shingles has ``CODE`` fingerprints, and each of them is read twice, from
+its top and from its middle, as a trie key of its own: its first bits are a leaf's path, and the walk allows as many errors
+in them, and then in the rest, as a pair of similarity LEAST needs to meet in one trie or more with probability
+``RECALL`` (``budgets`` derives both from the number of texts). Sets in one leaf are compared to one of them, drawn by
+hash anew in each trie, and leaves that meet are compared by those, each to its nearest and its first: candidates stay
+linear in the number of texts however large a group of copies is. Candidates that the whole code leaves are
+compared set by set, so that every link is of similarity LEAST or more.
+
 Defined results: a null or wordless text has fingerprint zero; fewer than three words make one shingle;
 equal fingerprints share a component; rows are never dropped, not even repeated ones; a null doc_id keeps
 its row and its component is the smallest doc_id that is not null (null if there is none); an empty table
-gives an empty result; columns besides the id and the text are ignored.
+gives an empty result; columns besides the id and the text are ignored. Of similar texts the smallest id stays, rows
+without id last, and one of its repeated rows; null and wordless texts are alike; fewer than five words make one shingle.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import discard, materialise, parallelism, private, small_batches, table, utf8
+from .pitman_yor import hashes
 
 SEED = 42
 SHINGLE = 3
@@ -35,6 +46,16 @@ _STEP = 1 << 16
 #: Salts that a star's rows are dealt by, so that a hot centre is no hot task.
 SALTS = 8
 
+#: Similar texts: words of a shingle, least Jaccard similarity, fingerprints of a set, chance to meet at that similarity.
+WIDTH, LEAST, CODE, RECALL = 5, 0.8, 8, 0.99
+TABLES, TABLE_BITS = 2 * CODE, 4
+#: Bits of a leaf's path beyond the logarithm of the number of texts.
+SPARE = 6
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.random.default_rng(17).integers(0, 2**64, CODE, dtype=np.uint64) | np.uint64(1)
+#: Errors that are allowed in a key's leading bits: (number of bits, errors), rising in both.
+Steps = list[tuple[int, int]]
+
 
 def fingerprint(text: bytes | None) -> int:
     """The SimHash of one UTF-8 text, as an unsigned 64-bit number."""
@@ -65,14 +86,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col)).mapInArrow(run, "doc_id long, fp long")
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, max_bits: int = MAX_BITS, leaf: int = 64, chunk: int = 1 << 15):
+def _allowed(steps: Steps) -> list[int]:
+    """The errors allowed in the first d bits, for d from 0 to 64."""
+    return [next(e for n, e in steps if n >= d) for d in range(65)]
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, steps: Steps, leaf: int = 64, chunk: int = 1 << 15):
     """Walk the tries of two sorted arrays of distinct fingerprints together; yields arrays (i, j) of links.
 
     A node is a range of its array. The walk goes down one bit at a time, counts the bits in which the two
-    paths differ and leaves a pair of nodes when the count exceeds ``max_bits``. ``same``: a is b, each link once.
+    paths differ and leaves a pair of nodes when the count exceeds its budget. ``same``: a is b, each link once.
     """
     if not len(a) or not len(b):
         return
+    allowed = _allowed(steps)
     first = tuple(np.array([x], dtype=np.int64) for x in (0, len(a), 0, len(b), 0))
     stack = [(63, first)]
     while stack:
@@ -88,7 +115,10 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, max_bits: int = MAX_B
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             nb = np.repeat(nb, size)
             i, j = np.repeat(alo[small], size) + within // nb, np.repeat(blo[small], size) + within % nb
-            near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
+            x = a[i] ^ b[j]
+            near = np.bitwise_count(x) <= steps[-1][1]
+            for n, errors in steps[:-1]:
+                near &= np.bitwise_count(x >> np.uint64(64 - n)) <= errors
             if same:
                 near &= i < j
             if near.any():
@@ -103,7 +133,7 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, max_bits: int = MAX_B
         children = []
         for x, y in ((0, 0), (1, 1), (0, 1), (1, 0)):
             c = [(alo, amid)[x], (amid, ahi)[x], (blo, bmid)[y], (bmid, bhi)[y], differ + (x != y)]
-            keep = (c[1] > c[0]) & (c[3] > c[2]) & (c[4] <= max_bits)
+            keep = (c[1] > c[0]) & (c[3] > c[2]) & (c[4] <= allowed[64 - bit])
             if same and (x, y) == (1, 0):  # a node with itself: the mirror of (0, 1)
                 keep &= alo != blo
             children.append([v[keep] for v in c])
@@ -173,8 +203,9 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _near_subtrees(cut: list[tuple[int, int, int]], max_bits: int) -> list[tuple[int, int]]:
-    """Pairs of subtrees whose shared path length differs in at most ``max_bits`` bits, found by walking the cut's trie with itself."""
+def _near_subtrees(cut: list[tuple[int, int, int]], steps: Steps) -> list[tuple[int, int]]:
+    """Pairs of subtrees whose shared path differs in no more bits than allowed, found by walking the cut's trie with itself."""
+    allowed = _allowed(steps)
     names = {(p, d): i for i, (p, d, _) in enumerate(cut)}
     inner = {(p >> k, d - k) for p, d, _ in cut for k in range(1, d + 1)}
     there = set(names) | inner
@@ -194,13 +225,37 @@ def _near_subtrees(cut: list[tuple[int, int, int]], max_bits: int) -> list[tuple
                 if min(x[1], y[1]) > min(a[1], b[1]):
                     short = min(x[1], y[1])
                     d += (x[0] >> (x[1] - short) & 1) != (y[0] >> (y[1] - short) & 1)
-                if d <= max_bits:
+                if d <= allowed[min(x[1], y[1])]:
                     stack.append((x, y, d))
     return out
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): a spanning forest of the links between distinct fingerprints, as signed numbers."""
+def _spanning(a: np.ndarray, b: np.ndarray, same: bool, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tries: each linked fingerprint and the smallest it reaches."""
+    both = a if same else np.concatenate([a, b])
+    shift = 0 if same else len(a)
+    root = forest(len(both), ((i, j + shift) for i, j in linked_pairs(a, b, same, steps)))
+    to = np.flatnonzero(root != np.arange(len(both)))
+    return both[to], both[root[to]]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, same: bool, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked fingerprint with its nearest and with its first link: at most two links for each."""
+    both = a if same else np.concatenate([a, b])
+    shift = 0 if same else len(a)
+    first, nearest = np.full((2, len(both)), 2**63 - 1, dtype=np.int64)
+    for i, j in linked_pairs(a, b, same, steps):
+        j = j + shift
+        bits = np.bitwise_count(both[i] ^ both[j]).astype(np.int64) << 40
+        for x, y in ((i, j), (j, i)):
+            np.minimum.at(first, x, y)
+            np.minimum.at(nearest, x, bits | y)
+    to = np.flatnonzero(first != 2**63 - 1)
+    return np.concatenate([both[to], both[to]]), np.concatenate([both[first[to]], both[nearest[to] & (1 << 40) - 1]])
+
+
+def links(nodes: DataFrame, steps: Steps, pick=_spanning) -> DataFrame:
+    """(a, b): of the links between distinct fingerprints those that ``pick`` takes, as signed numbers."""
     spark = nodes.sparkSession
     total = nodes.count()
     most = int(min(SUBTREE_MOST, max(SUBTREE_LEAST, total // 64)))
@@ -211,7 +266,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     names = spark.createDataFrame([(_signed(p), d, i) for i, (p, d, _) in enumerate(cut)], "p long, d int, tree int")
     paths = F.array(*(F.struct((F.shiftrightunsigned("fp", 64 - d) if d else F.lit(0).cast("long")).alias("p"), F.lit(d).alias("d")) for d in depths))
     trees = nodes.select("fp", F.explode(paths).alias("x")).select("fp", "x.p", "x.d").join(names, ["p", "d"]).groupBy("tree").agg(F.collect_list("fp").alias("fps"))
-    units = spark.createDataFrame(_near_subtrees(cut, max_bits), "s int, t int")
+    units = spark.createDataFrame(_near_subtrees(cut, steps), "s int, t int")
     work = units.join(trees.select(F.col("tree").alias("s"), F.col("fps").alias("a")), "s").join(trees.select(F.col("tree").alias("t"), F.col("fps").alias("b")), "t")
 
     def run(batches):
@@ -219,11 +274,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             same = [x == y for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True)]
             for k in range(batch.num_rows):
                 a, b = (np.sort(batch.column(c)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in "ab")
-                both = a if same[k] else np.concatenate([a, b])
-                shift = 0 if same[k] else len(a)
-                root = forest(len(both), ((i, j + shift) for i, j in linked_pairs(a, b, same[k], max_bits)))
-                to = np.flatnonzero(root != np.arange(len(both)))
-                yield pa.RecordBatch.from_arrays([pa.array(both[to].view(np.int64)), pa.array(both[root[to]].view(np.int64))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in pick(a, b, same[k], steps)], names=["a", "b"])
 
     return work.select("s", "t", "a", "b").repartition(parallelism(spark)).mapInArrow(run, "a long, b long")
 
@@ -262,29 +313,127 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     """(doc_id, fp, root, component_id) for every row of ``docs``; root is the component's smallest fingerprint."""
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    roots = components(links(nodes.select("fp"), [(64, max_bits)])).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialise(named.join(least, "root").select("fp", "root", "component_id"), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component: the smallest (id, fingerprint), rows without id last; of equal ones any."""
-    small_batches(docs.sparkSession)
-    classes = near_duplicates(docs, max_bits, id_col, text_col)
-    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
-    wins = materialise(first.select(F.col("k.doc_id").alias("__win_id"), F.col("k.fp").alias("__win_fp")), "kept")
+def shingles(text: bytes | None) -> np.ndarray:
+    """The sorted distinct numbers of a text's ``WIDTH``-word shingles."""
+    words = np.array(hashes(text.lower().split()) if text else [], dtype=np.uint64)
+    width = min(WIDTH, len(words))
+    h = np.zeros(len(words) - width + 1 if width else 0, dtype=np.uint64)
+    for i in range(width):
+        h = h * _MIX + words[i : i + len(h)]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ h >> np.uint64(29))
+
+
+def code(shingle: np.ndarray) -> np.ndarray:
+    """The ``CODE`` fingerprints of a set of shingles; the empty set has zeros."""
+    counts = np.zeros(64 * CODE, dtype=np.int64)
+    for i in range(0, len(shingle), _STEP):
+        own = shingle[i : i + _STEP, None] * _TURN
+        own ^= own >> np.uint64(32)
+        own *= _MIX
+        own ^= own >> np.uint64(29)
+        counts += np.unpackbits(own.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(shingle), bitorder="little").view("<u8")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def differing(least: float) -> float:
+    """The chance that a fingerprint's bit differs between sets of equal size with this Jaccard similarity."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def _at_most(n: int, p: float) -> list[float]:
+    """P(at most e of n bits differ), for e from 0 to n."""
+    one = [math.comb(n, e) * p**e * (1 - p) ** (n - e) for e in range(n + 1)]
+    return [sum(one[: e + 1]) for e in range(n + 1)]
+
+
+def budgets(n: int, least: float = LEAST) -> tuple[int, Steps]:
+    """Bits of a leaf's path for n texts, and the errors allowed in a key: in its table's number, the path and all of it."""
+    path, p = min(40, max(1, n).bit_length() + SPARE), differing(least)
+    rest = 64 - TABLE_BITS - path
+    tail = _at_most(rest, p)
+    more = next(e for e, x in enumerate(tail) if x >= 0.98)
+    head = _at_most(path, p)
+    errors = next(e for e, x in enumerate(head) if (1 - x * tail[more]) ** TABLES <= 1 - RECALL)
+    return path, [(TABLE_BITS, 0), (TABLE_BITS + path, errors), (64, errors + more)]
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def _codes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, node, code): a row's number, its set's number and its set's fingerprints."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-            fps = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "__fp"])
+            sets = [shingles(t) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            codes = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([code(s) for s in sets]).view(np.int64)), CODE) if sets else pa.array([], pa.list_(pa.int64(), CODE))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), codes.cast(pa.list_(pa.int64()))], names=["doc_id", "key", "node", "code"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(id_col, text_col), utf8(text_col)).mapInArrow(run, "doc_id long, key long, node long, code array<long>")
+
+
+def candidates(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): pairs of sets that may be similar, a below b. ``nodes``: (node, code)."""
+    path, steps = budgets(nodes.count(), least)
+    turned = lambda c, bits: F.shiftleft(c, bits).bitwiseOR(F.shiftrightunsigned(c, 64 - bits)) if bits else c
+    keys = [F.shiftrightunsigned(turned(F.col("code")[t // 2], 32 * (t % 2)), TABLE_BITS).bitwiseOR(F.lit(_signed(t << 64 - TABLE_BITS))).alias("fp") for t in range(TABLES)]
+    entries = nodes.select("node", F.explode(F.array(*keys)).alias("fp"))
+    leaf = F.shiftrightunsigned("fp", 64 - TABLE_BITS - path).alias("leaf")
+    leaves = materialise(entries.groupBy(leaf).agg(F.min_by(F.struct("fp", "node"), F.xxhash64("node", "fp")).alias("c"), F.count("*").alias("n")).select("leaf", "c.*", "n"), "leaves")
+    within = entries.withColumn("leaf", leaf).join(leaves.filter("n > 1").select("leaf", F.col("node").alias("centre")), "leaf").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    met = links(leaves.select("fp"), steps, _nearest)
+    named = leaves.select("fp", "node")
+    across = met.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return within.union(across).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(nodes: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(a, b): linked sets, each pair compared in full. ``nodes``: (node, key, code); ``texts``: (key, text)."""
+    p, bits = differing(least), 64 * CODE
+    most = int(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
+    own = lambda side: nodes.select(F.col("node").alias(side), F.col("code").alias(f"code_{side}"))
+    apart = F.aggregate(F.zip_with("code_a", "code_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = materialise(candidates(nodes, least).join(own("a"), "a").join(own("b"), "b").filter(apart <= most).select("a", "b"), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
+    sets = materialise(texts.join(asked, "key").dropDuplicates(["node"]).select("node", "text"), "sets")
 
-    named = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    kept = named.join(wins, F.col(id_col).cast("long").eqNullSafe(F.col("__win_id")) & (F.col("__fp") == F.col("__win_fp")), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
+    def run(batches):
+        for batch in batches:
+            a, b, s, t = (c.to_pylist() for c in batch.columns)
+            near = [jaccard(shingles(x), shingles(y)) >= least for x, y in zip(s, t, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, n in zip(c, near, strict=True) if n], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def similar_dropped(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of similar texts: the smallest id, rows without id last; of equal rows any."""
+    small_batches(docs.sparkSession)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("k")
+    nodes = materialise(_codes(docs, id_col, text_col).groupBy("node").agg(first, F.first("code").alias("code")).select("node", "k", "k.key", "code"), "nodes")
+    texts = docs.select(_key(id_col, text_col).alias("key"), utf8(text_col).alias("text"))
+    roots = components(similar(nodes, texts, least))
+    key = private(docs, "key")
+    wins = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k")).select(F.col("k.key").alias(key))
+    kept = docs.withColumn(key, _key(id_col, text_col)).join(wins, key, "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
