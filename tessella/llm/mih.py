@@ -1,25 +1,26 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
 Fit: on a bounded sample, several PCA + ITQ rotations (alternating sign codes and orthogonal Procrustes) give
-``bits`` signs per vector, and the Hamming radius is the quantile of the distances between codes of true
-neighbours within the sample. A sample's neighbours are farther away than the whole table's, so the radius
-errs on the wide side.
+``bits`` signs per vector. The sample also tells how far beyond its k-th nearest code a query's true neighbours lie:
+``margin`` is the quantile WITHIN of that.
 
 Search: codes split into 16-bit substrings and each substring has its own index from value to rows. A code
 within radius r of the query agrees with it in some substring to within floor(r / m) bits, so probing every
-bucket at that distance in each of the m indexes retrieves every code within the radius. Those are checked
-with the whole code and reranked by Euclidean distance on the original vectors in double precision. Should
-fewer than k codes lie within the radius, the radius widens by an eighth of the code until k do or all rows
-are in it.
+bucket at that distance in each of the m indexes retrieves every code within the radius. Each query has a radius of
+its own: it starts at the distance that one query in ten needs in the sample, widens by a sixteenth of the code until k
+codes lie within it, and then becomes the k-th code's distance plus the margin. What it holds is reranked by Euclidean
+distance on the original vectors in double precision. Queries near others so probe few buckets; where vectors
+are spread evenly no radius is small, and a query's probes reach most rows (``reached`` measures the share).
 
 Rows are dealt into index blocks and queries into query blocks of bounded size; a task holds one of each and
-returns the k best per query, and the best of all blocks are merged. Every row is indexed. At most k + 1 rows
+returns the k best per query, and the best of all blocks are merged. Every row is indexed. At most k + 1 ids
 of equal vectors can be among a query's k nearest, so only the k + 1 smallest ids of a vector are searched.
 
 Defined results: vectors that are null, zero, hold null or non-finite components or differ in length from
-most others take no part, neither do rows without id; ties go to the smaller id; repeated ids are separate
-rows and a query skips all rows of its own id; query rows equal in id and vector are one query, and those equal in
-id alone are queries of their own, each with its k nearest under the shared id; no other vectors gives no rows; an empty table gives none.
+most others take no part, neither do rows without id; ties go to the smaller id; rows equal in id and vector are one
+row, and those equal in id alone are rows of their own; a query skips all rows of its own id; queries equal in id alone
+are queries of their own, each with its k nearest under the shared id; no other vectors gives no rows; an empty table
+gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +35,14 @@ from .common import parallelism, table
 
 BITS = 256
 SUB = 16
-#: Rows the rotation and radius are learned from at most; quantile of neighbours that must lie in the radius.
-SAMPLE, WITHIN = 8_000, 0.97
+#: Rows the rotation and margin are learned from at most; quantile of neighbours that must lie in the margin.
+SAMPLE, WITHIN = 8_000, 0.98
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 2_048
 K = 10
 
 
 def learn(x: np.ndarray, bits: int = BITS, k: int = K, rounds: int = 25, seed: int = 1) -> dict:
-    """Mean, rotations and radius from sample vectors (n, d)."""
+    """Mean, rotations, first radius and margin from sample vectors (n, d)."""
     rng = np.random.default_rng(seed)
     n, d = x.shape
     mean = x.mean(axis=0)
@@ -55,16 +56,19 @@ def learn(x: np.ndarray, bits: int = BITS, k: int = K, rounds: int = 25, seed: i
             u, _, w = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0))
             r = u @ w
         turns.append(axes @ r)
-    model = {"mean": mean, "turn": np.concatenate(turns, axis=1)[:, :bits], "radius": bits}
+    model = {"mean": mean, "turn": np.concatenate(turns, axis=1)[:, :bits], "start": bits, "margin": 0}
     if n > 2 * k:
         codes = encode(model, x)
-        near = []
-        for i in range(0, n, max(1, n // 256)):
+        kth, beyond = [], []
+        for i in range(0, n, max(1, n // 512)):
+            apart = np.bitwise_count(codes ^ codes[i]).sum(axis=1, dtype=np.int64)
+            apart[i] = bits + 1
             dist = np.einsum("ij,ij->i", x - x[i], x - x[i])
             dist[i] = np.inf
-            top = np.argpartition(dist, k)[:k]
-            near.append(np.bitwise_count(codes[top] ^ codes[i]).sum(axis=1))
-        model["radius"] = int(np.quantile(np.concatenate(near), WITHIN))
+            kth.append(int(np.partition(apart, k - 1)[k - 1]))
+            beyond.append(apart[np.argpartition(dist, k)[:k]] - kth[-1])
+        model["start"] = int(np.quantile(kth, 0.1))
+        model["margin"] = max(0, int(np.quantile(np.concatenate(beyond), WITHIN)))
     return model
 
 
@@ -86,8 +90,8 @@ class Index:
             of[order] = bucket
             self.tables.append((values, np.append(first, len(order)), order, of))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code lies within the radius: pigeonhole probing, then the whole code."""
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows in the buckets that pigeonhole probing opens for the radius."""
         step = radius // len(self.tables)
         seen = np.zeros(len(self.codes), dtype=bool)
         for j, (values, first, order, of) in enumerate(self.tables):
@@ -98,13 +102,37 @@ class Index:
             else:
                 for b in few:
                     seen[order[first[b] : first[b + 1]]] = True
-        rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+        return np.flatnonzero(seen)
+
+    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All rows whose code lies within the radius, and how far each is off."""
+        rows = self.probed(code, radius)
+        apart = np.bitwise_count(self.codes[rows] ^ code).sum(axis=1, dtype=np.int64)
+        near = apart <= radius
+        return rows[near], apart[near]
+
+    def nearest(self, code: np.ndarray, k: int, model: dict, skip: np.ndarray) -> np.ndarray:
+        """Rows to rerank: those within the k-th code's distance and the margin; rows marked in ``skip`` don't count."""
+        width = 16 * self.codes.shape[1]
+        radius = min(model["start"], width)
+        while True:
+            rows, apart = self.within(code, radius)
+            rows, apart = rows[~skip[rows]], apart[~skip[rows]]
+            if len(rows) >= k or radius >= width:
+                break
+            radius = min(width, radius + width // 16)
+        if len(rows) < k:
+            return rows
+        goal = min(width, int(np.partition(apart, k - 1)[k - 1]) + model["margin"])
+        if goal > radius:
+            rows, apart = self.within(code, goal)
+            return rows[~skip[rows]]
+        return rows[apart <= goal]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
-    v = F.col(vec_col).cast("array<double>")
+    v = F.col(vec_col)
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & ok)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -114,7 +142,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS, sample: int = SAMPLE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest rows found for each query row."""
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).distinct()
+    rows, asked = usable(vectors, id_col, vec_col).distinct(), usable(queries, id_col, vec_col).distinct()
     # tells queries of one id apart: the place of each among them
     asked = asked.withColumn("nth", F.row_number().over(W.partitionBy("vec_id").orderBy("v")))
     n = rows.count()
@@ -125,28 +153,22 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
     h = F.xxhash64("vec_id")
     near = rows.filter(h <= F.lit(min((1 << 63) - 1, (2 * sample << 64) // n - (1 << 63))))
     drawn = near.orderBy(h, "vec_id").limit(sample).collect() or rows.orderBy(h, "vec_id").limit(sample).collect()
-    model = learn(np.array([r.v for r in drawn]), bits, k)
+    model = learn(np.array([r.v for r in drawn], dtype=float), bits, k)
     index_blocks = max(1, -(-n // INDEX_BLOCK))
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     first = W.partitionBy("v").orderBy("vec_id")
     kept = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1).drop("n")
-    left = kept.withColumn("ib", F.pmod(F.xxhash64("vec_id"), F.lit(index_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))).withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index_blocks - 1).cast("long"))))
+    left = kept.withColumn("ib", F.pmod(F.xxhash64("vec_id", "v"), F.lit(index_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks))).withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index_blocks - 1).cast("long"))))
 
     def run(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(rows) and len(asked):
-            ids, x = rows.vec_id.to_numpy(), np.stack(rows.v.to_numpy())
-            index, width = Index(encode(model, x)), bits
-            qx = np.stack(asked.v.to_numpy())
+            ids, x = rows.vec_id.to_numpy(), np.stack(rows.v.to_numpy()).astype(float)
+            index = Index(encode(model, x))
+            qx = np.stack(asked.v.to_numpy()).astype(float)
             for q, nth, y, code in zip(asked.vec_id.to_numpy(), asked.nth.tolist(), qx, encode(model, qx), strict=True):
-                radius = model["radius"]
-                while True:
-                    got = index.within(code, min(radius, width))
-                    got = got[ids[got] != q]
-                    if len(got) >= k or radius >= width:
-                        break
-                    radius += width // 8
+                got = index.nearest(code, k, model, ids == q)
                 gap = x[got] - y
                 dist = np.sqrt((gap * gap).sum(axis=1))
                 best = np.lexsort((ids[got], dist))[:k]
@@ -158,6 +180,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS,
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def reached(model: dict, x: np.ndarray, queries: np.ndarray, k: int = K) -> float:
+    """The share of rows that probing opens, on average over some rows as queries."""
+    codes = encode(model, x)
+    index, none = Index(codes), np.zeros(len(x), dtype=bool)
+    share = []
+    for q in queries:
+        rows = index.nearest(codes[q], k, model, none)
+        radius = int(np.bitwise_count(codes[rows] ^ codes[q]).sum(axis=1).max())
+        share.append(len(index.probed(codes[q], radius)) / len(x))
+    return float(np.mean(share))
+
+
 def op1_mih(spark, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.filter("vec_id % 100 = 0"))

@@ -206,6 +206,37 @@ def test_search_repeated_queries(spark):
     assert both == sorted(want + [(r["rank"], r.vec_id) for r in mih.search(table, other).collect()])
 
 
+def test_search_repeated_ids(spark):
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    twin = [(0, x[0].tolist())] * 14 + [(70, x[0].tolist())] * 3 + [(0, x[1].tolist())] * 2 + [(5, x[9].tolist())]
+    table = spark.createDataFrame(rows + twin, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in mih.search(table, table.filter("vec_id = 0"), k=4).collect())
+    every = {(k, tuple(v)) for k, v in rows + twin if k}
+    want = []
+    for y in (x[0], x[1]):
+        near = sorted((float(np.sqrt(((np.array(v) - y) ** 2).sum())), k) for k, v in every)[:4]
+        want += [(n + 1, k, d) for n, (d, k) in enumerate(near)]
+    assert got == sorted(want) and (1, 70, 0.0) in got
+
+
+def test_search_opens_few_buckets_where_vectors_cluster():
+    rng = np.random.default_rng(18)
+    centres = rng.standard_normal((400, 32)) * 4
+    x = np.repeat(centres, 20, axis=0) + 0.3 * rng.standard_normal((8000, 32))
+    model = mih.learn(x)
+    queries = np.arange(0, 8000, 400)
+    assert mih.reached(model, x, queries) < 0.5
+    index, codes, hit = mih.Index(mih.encode(model, x)), mih.encode(model, x), 0
+    for q in queries:
+        dist = ((x - x[q]) ** 2).sum(axis=1)
+        dist[q] = np.inf
+        got = index.nearest(codes[q], 10, model, np.arange(8000) == q)
+        hit += len(set(got[np.argsort(dist[got])[:10]].tolist()) & set(np.argsort(dist)[:10].tolist()))
+    assert hit / (10 * len(queries)) >= 0.9
+
+
 def test_decontamination(spark, empty):
     items = [(k, prose(20 + k, 500 + k)) for k in range(12)]
     edited = items[4][1].split()
