@@ -166,7 +166,7 @@ def valid(kind, v):
 def test_pii_base_spans(spark, docs, empty):
     hard = ["a@b.c@d.e x@y.zcom%foo@bar.com", "1.2.3.4.5.6.7.8 001.02.3.0004 256.1.1.1", "5 1234567890123 4111-1111-1111-1111 4111  1111 1111 1111 0000000000000", "+1234567890 +1-2-3 ++44 (0) 20.7946 0958.", "9" * 30_000, "x" * 30_000 + "@", "😀 é 4111111111111111", "1." * 5000, None, ""]
     table = spark.createDataFrame([(k, t) for k, t in enumerate(hard)], "doc_id long, text string")
-    got = {r.doc_id: r["__pii"] for r in pii.spans(table).collect()}
+    got = {r.doc_id: r["pii"] for r in pii.spans(table).collect()}
     for k, t in enumerate(hard):
         want = [(kind, m.start(), m.end()) for kind, p in BASE.items() for m in re.finditer(p, t or "") if valid(kind, m.group())]
         assert [(s.kind, s.start, s.end) for s in got[k] if s.kind in BASE] == want, k
@@ -175,6 +175,79 @@ def test_pii_base_spans(spark, docs, empty):
     assert "a.b@c.de" not in text[31] and "<EMAIL>" in text[31] and "<PHONE>" in text[31] and "<CARD>" in text[32] and "<IP>" in text[32]
 
 
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    n = 40_000
+    text = "".join(f"é{k}@b.c 😀 " for k in range(n)) + "end"
+    table = spark.createDataFrame([(1, text), (2, "x@y.zz")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in pii.spans(table).select("doc_id", "pii.start", "pii.end").selectExpr("doc_id", "arrays_zip(start, end) spans").collect()}
+    new = {r.doc_id: r.text for r in pii.redacted(table).collect()}
+    assert time.perf_counter() - began < 30
+    assert [(s.start, s.end) for s in got[1]] == [(m.start(), m.end()) for m in re.finditer(BASE["email"], text)]
+    assert new == {1: re.sub(BASE["email"], "<EMAIL>", text), 2: "<EMAIL>"}
+
+
+def test_pii_redaction_of_overlapping_spans(spark):
+    text = "a " * 3000 + "+1 (017) 555-7713 1.2.3.4 " + "é😀" * 2000 + " x@y.zz"
+    table = spark.createDataFrame([(1, text, "own")], "doc_id long, text string, pii string")
+    row = pii.redacted(table).first()
+    assert row.pii == "own" and row.text == "a " * 3000 + "<PHONE> " + "é😀" * 2000 + " <EMAIL>"
+
+
+def test_pii_labelers_are_estimated():
+    rng = np.random.default_rng(31)
+    hit, false, share = np.array([0.9, 0.8, 0.7, 0.85, 0.95]), np.array([0.1, 0.3, 0.2, 0.05, 0.5]), 0.3
+    true = rng.random(20_000) < share
+    votes = rng.random((20_000, 5)) < np.where(true[:, None], hit, false)
+    mute = rng.random((20_000, 5)) < 0.2
+    names = ["secret:" + "".join("-" if m else "01"[v] for v, m in zip(x, y, strict=True)) for x, y in zip(votes.tolist(), mute.tolist(), strict=True)]
+    counts = collections.Counter(names)
+    post = pii.reliabilities(counts)
+    prior, got_hit, got_false = pii.estimate(counts, post)
+    assert abs(prior["secret"] - share) < 0.03 and np.abs(np.array(got_hit) - hit).max() < 0.05 and np.abs(np.array(got_false) - false).max() < 0.05
+    truth = collections.defaultdict(list)
+    for n, t in zip(names, true.tolist(), strict=True):
+        truth[n].append(t)
+    assert all(abs(np.mean(t) - post[n]) < 0.1 for n, t in truth.items() if len(t) > 300)
+
+    def objective(rates):  # the logarithm of the posterior density, by brute force
+        prior, hit, false = rates
+        total = sum(a * math.log(x) + b * math.log(1 - x) for xs, a, b in ((prior.values(), 1, 1), (hit, 2, 1), (false, 1, 2)) for x in xs)
+        for p, n in counts.items():
+            yes, no = prior["secret"], 1 - prior["secret"]
+            for v, h, f in zip(p.split(":")[1], hit, false, strict=True):
+                yes, no = yes * {"1": h, "0": 1 - h, "-": 1}[v], no * {"1": f, "0": 1 - f, "-": 1}[v]
+            total += n * math.log(yes + no)
+        return total
+
+    steps = [objective(pii.estimate(counts, pii.reliabilities(counts, n))) for n in (0, 1, 2, 5, 20, 100)]
+    assert all(b >= a - 1e-6 for a, b in zip(steps, steps[1:], strict=False))
+
+
+def test_pii_adds_planted_secrets(spark):
+    rng = np.random.default_rng(32)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    mixed = lambda n: "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"), n)) + "7aB"
+    rows, want = [], {}
+    for k in range(400):
+        body, span = prose(30, 5000 + k), None
+        if k % 4 == 0:
+            span = hexa(40) if k % 8 else mixed(33)
+            body += f' {["token", "api_key", "see"][k % 3]} = "{span}" and so on'
+        elif k % 4 == 1:
+            body += f" order {rng.integers(10**15, 10**16)} pages and part_number_{rng.integers(10**6)}_of_many"
+        elif k % 4 == 2:
+            body += f" /2024/report-2024-01-0{k % 9}-final-version2.html"
+        rows.append((k, body))
+        want[k] = [(body.index(span), body.index(span) + len(span))] if span else []
+    got = {r.doc_id: [(s.start, s.end) for s in r.pii if s.kind == "secret"] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[k] == want[k] for k in want if want[k])
+    wrong = sum(got[k] != want[k] for k in want if not want[k])
+    assert found >= 95 and wrong <= 3, (found, wrong)
+
+
 def test_search_recall(spark):
     x = RNG.standard_normal((1500, 32)).astype("float32")
     x[700:720] = x[3]
