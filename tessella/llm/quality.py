@@ -37,6 +37,8 @@ OUT = ("expected_grade", "p_top", "keep")
 _LETTERS, _DIGITS = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 _UPPER = re.compile(rb"[A-Z]{2,}")
 
+#: Words whose features a worker keeps.
+CACHE = 100_000
 _slots: dict[bytes, tuple[int, int]] = {}
 
 
@@ -52,7 +54,7 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     words = text.split() if text else []
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    if len(_slots) > 300_000:
+    if len(_slots) > CACHE:
         _slots.clear()
     try:
         pairs = list(map(_slots.__getitem__, words))

@@ -43,6 +43,8 @@ MAX_BITS = 2
 #: Most fingerprints in a subtree of the cut, and fewest that are worth a cut.
 SUBTREE_MOST, SUBTREE_LEAST = 1 << 18, 1 << 11
 _STEP = 1 << 16
+#: Shingles that a code is added up from at a time: their bits stay in the cache.
+_PART = 1 << 12
 #: Salts that a star's rows are dealt by, so that a hot centre is no hot task.
 SALTS = 8
 
@@ -91,7 +93,7 @@ def _allowed(steps: Steps) -> list[int]:
     return [next(e for n, e in steps if n >= d) for d in range(65)]
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, steps: Steps, leaf: int = 64, chunk: int = 1 << 15):
+def linked_pairs(a: np.ndarray, b: np.ndarray, same: bool, steps: Steps, leaf: int = 64, chunk: int = 1 << 13):
     """Walk the tries of two sorted arrays of distinct fingerprints together; yields arrays (i, j) of links.
 
     A node is a range of its array. The walk goes down one bit at a time, counts the bits in which the two
@@ -335,8 +337,8 @@ def shingles(text: bytes | None) -> np.ndarray:
 def code(shingle: np.ndarray) -> np.ndarray:
     """The ``CODE`` fingerprints of a set of shingles; the empty set has zeros."""
     counts = np.zeros(64 * CODE, dtype=np.int64)
-    for i in range(0, len(shingle), _STEP):
-        own = shingle[i : i + _STEP, None] * _TURN
+    for i in range(0, len(shingle), _PART):
+        own = shingle[i : i + _PART, None] * _TURN
         own ^= own >> np.uint64(32)
         own *= _MIX
         own ^= own >> np.uint64(29)
