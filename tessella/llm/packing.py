@@ -1,9 +1,11 @@
 """Packing of tokenised documents into sequences: best fit, then swap-based local search.
 
 Documents are tokenised with a public tokenizer file and get one end id each. Only a document that is longer
-than a sequence is cut. Pieces are dealt into groups of bounded size and each group is packed by itself:
-decreasing best fit first, then a local search that moves one document, exchanges one for one or two for one
-between underfull bins whenever that raises the sum of squared fills, until bins empty or nothing improves.
+than a sequence is cut. Pieces are dealt into groups of bounded size and each group is packed by itself: best fit in
+order of arrival first, then a local search over its underfull bins. A step moves one document to a fuller bin, or
+exchanges one for a shorter one, two for one shorter than both, or one for two shorter than it; of the steps of the least
+filled bin the one that raises the sum of squared fills most is taken, the next kind only where the one before has none.
+Bins so run empty, until as few are left as the tokens need, or until no step of any bin raises the sum any more.
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed as separate documents;
 ties take the earlier bin; an empty table gives an empty result; other columns are ignored.
@@ -11,7 +13,6 @@ ties take the earlier bin; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import zlib
@@ -123,12 +124,11 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, id_col: str = "doc_id",
 
 
 def best_fit(lengths: list[int], room: int = ROOM) -> list[list[int]]:
-    """Bins of indices: longest first, each into the fullest bin that has room."""
+    """Bins of indices: each piece in turn into the fullest bin that has room."""
     bins: list[list[int]] = []
     open_: list[list[int]] = [[] for _ in range(room + 1)]  # by room left
     mask = 0
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
+    for i, n in enumerate(lengths):
         fits = mask >> n
         if fits:
             left = n + (fits & -fits).bit_length() - 1
@@ -146,67 +146,115 @@ def best_fit(lengths: list[int], room: int = ROOM) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], room: int = ROOM, rounds: int = 200) -> list[list[int]]:
-    """Try to empty the least filled bin into the other underfull ones, again and again.
+class Bins:
+    """Bins under local search. Indices of documents are ``i``, of bins ``k``; ``s`` is the bin that gives."""
 
-    A step moves one document out, exchanges one for a shorter one, or two for one shorter than both; each
-    raises the sum of squared fills, since it takes tokens from the least filled bin.
-    """
-    bins = [list(b) for b in bins]
-    total, fill = sum(lengths), [sum(lengths[i] for i in b) for b in bins]
-    least = -(-total // room)
-    heap = [(f, k) for k, f in enumerate(fill) if f < room]
-    heapq.heapify(heap)
-    while len(bins) - sum(not b for b in bins) > least and heap and rounds:
-        rounds -= 1
-        _, s = heapq.heappop(heap)
-        others = [k for k in range(len(bins)) if k != s and bins[k] and fill[k] < room]
+    def __init__(self, bins: list[list[int]], lengths: list[int], room: int = ROOM):
+        self.room, self.n = room, np.asarray(lengths, dtype=np.int64)
+        self.bin = np.empty(len(lengths), dtype=np.int64)
+        for k, b in enumerate(bins):
+            self.bin[b] = k
+        self.members = [set(b) for b in bins]
+        self.fill = np.bincount(self.bin, self.n, len(bins)).astype(np.int64)
+        self.fewest = -(-int(self.n.sum()) // room)
+        self.order = np.argsort(self.n, kind="stable")
+        self.sorted = self.n[self.order]
+        self.of: dict[int, np.ndarray] = {}
+        self.pairs: tuple | None = None
+
+    def _gain(self, s: int, give: int, sums: np.ndarray, ks: np.ndarray) -> tuple[int, int]:
+        """(rise of the sum of squares, which) of the best bin of ``ks`` to take ``give`` tokens for ``sums``."""
+        g, fill = give - sums, self.fill[ks]
+        rise = np.where((g > 0) & (fill + g <= self.room) & (ks != s) & (fill > 0), g * (fill - self.fill[s] + g), 0)
+        at = int(rise.argmax()) if len(rise) else 0
+        return (int(rise[at]), at) if len(rise) else (0, 0)
+
+    def _doubles(self, k: int) -> np.ndarray:
+        """(sum, i, j) of a bin's pairs of documents, one for each two lengths: their number has a bound in the room."""
+        if k not in self.of:
+            by: dict[int, list[int]] = {}
+            for i in sorted(self.members[k]):
+                by.setdefault(int(self.n[i]), []).append(i)
+            sizes = sorted(by)
+            found = [(2 * u, by[u][0], by[u][1]) for u in sizes if len(by[u]) > 1]
+            found += [(u + v, by[u][0], by[v][0]) for a, u in enumerate(sizes) for v in sizes[a + 1 :]]
+            self.of[k] = np.array(found, dtype=np.int64).reshape(-1, 3)
+        return self.of[k]
+
+    def _all_doubles(self, under: np.ndarray) -> tuple:
+        """All pairs of underfull bins by their sum, as (sums, documents, bins)."""
+        if self.pairs is None:
+            every = [self._doubles(k) for k in under.tolist()]
+            found, ks = np.concatenate(every), np.repeat(under, [len(x) for x in every])
+            order = np.argsort(found[:, 0], kind="stable")
+            self.pairs = found[order, 0], found[order, 1:], ks[order]
+        return self.pairs
+
+    def step(self, s: int) -> bool:
+        """Take the best step of bin s, if it has one."""
+        under = np.flatnonzero((self.fill < self.room) & (self.fill > 0))
+        others = under[under != s]
+        if not len(others):
+            return False
+        most = self.room - int(self.fill[others].min())
+        one: dict[int, tuple[int, ...]] = {}
+        for i in sorted(self.members[s]):
+            one.setdefault(int(self.n[i]), (i,))
+        two: dict[int, tuple[int, ...]] = {}
+
+        def best(gives: dict[int, tuple[int, ...]], sums: np.ndarray, take, ks) -> tuple:
+            top: tuple = (0,)
+            for size, give in gives.items():
+                lo, hi = np.searchsorted(sums, [size - most, size])
+                if lo < hi:
+                    rise, at = self._gain(s, size, sums[lo:hi], ks(lo, hi))
+                    if rise > top[0]:
+                        top = (rise, int(ks(lo, hi)[at]), give, take(lo + at))
+            return top
+
+        singles = (self.sorted, lambda at: (int(self.order[at]),), lambda lo, hi: self.bin[self.order[lo:hi]])
+        top = best(one, np.zeros(len(others), dtype=np.int64), lambda at: (), lambda lo, hi: others[lo:hi])
+        top = max(top, best(one, *singles), key=lambda x: x[0])
+        if not top[0]:
+            for size, i, j in self._doubles(s).tolist():
+                two.setdefault(size, (i, j))
+            top = best(two, *singles)
+        if not top[0]:
+            sums, docs, ks = self._all_doubles(under)
+            top = best(one, sums, lambda at: tuple(docs[at].tolist()), lambda lo, hi: ks[lo:hi])
+        if top[0]:
+            self._shift(s, *top[1:])
+        return top[0] > 0
+
+    def _shift(self, s: int, k: int, give: tuple[int, ...], take: tuple[int, ...]) -> None:
+        for a, b, docs in ((s, k, give), (k, s, take)):
+            self.members[a] -= set(docs)
+            self.members[b] |= set(docs)
+            self.bin[list(docs)] = b
+        self.fill[s], self.fill[k] = (sum(int(self.n[i]) for i in self.members[x]) for x in (s, k))
+        self.pairs = None
+        for x in (s, k):
+            self.of.pop(x, None)
+
+    def search(self) -> Bins:
+        """Steps of the least filled bins until the fewest possible are left or no bin has a step."""
         better = True
-        while bins[s] and better:
-            better = False
-            for k in others:
-                left = room - fill[k]
-                if not left:
-                    continue
-                mine = sorted(bins[s], key=lambda i: -lengths[i])
-                # one document over
-                if (x := next((i for i in mine if lengths[i] <= left), None)) is not None:
-                    give, take = [x], []
-                else:
-                    best = (0, [], [])
-                    theirs = bins[k]
-                    for x in mine:
-                        for y in theirs:
-                            gain = lengths[x] - lengths[y]
-                            if best[0] < gain <= left:
-                                best = (gain, [x], [y])
-                    if len(mine) > 1:
-                        x2 = mine[-2:]
-                        pair = lengths[x2[0]] + lengths[x2[1]]
-                        for y in theirs:
-                            gain = pair - lengths[y]
-                            if best[0] < gain <= left:
-                                best = (gain, x2, [y])
-                    if len(theirs) > 1:
-                        y2 = sorted(theirs, key=lambda i: lengths[i])[:2]
-                        pair = lengths[y2[0]] + lengths[y2[1]]
-                        for x in mine:
-                            gain = lengths[x] - pair
-                            if best[0] < gain <= left:
-                                best = (gain, [x], y2)
-                    _, give, take = best
-                if give:
-                    gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    bins[s] = [i for i in bins[s] if i not in give] + take
-                    bins[k] = [i for i in bins[k] if i not in take] + give
-                    fill[s] -= gain
-                    fill[k] += gain
-                    better = True
-                if not bins[s]:
+        while better and (self.fill > 0).sum() > self.fewest:
+            better, done = False, np.zeros(len(self.fill), dtype=bool)
+            while (self.fill > 0).sum() > self.fewest:
+                open_ = np.flatnonzero((self.fill > 0) & (self.fill < self.room) & ~done)
+                if not len(open_):
                     break
-        if bins[s]:
-            break  # the least filled bin can't be emptied
-    return [b for b in bins if b]
+                s = int(open_[self.fill[open_].argmin()])
+                while self.fill[s] and self.step(s):
+                    better = True
+                done[s] = True
+        return self
+
+
+def local_search(bins: list[list[int]], lengths: list[int], room: int = ROOM) -> list[list[int]]:
+    """The bins that are left by the search."""
+    return [sorted(b) for b in Bins(bins, lengths, room).search().members if b]
 
 
 def pack(docs: DataFrame, path: str, room: int = ROOM, group: int = GROUP) -> DataFrame:

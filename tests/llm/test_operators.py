@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -147,7 +148,43 @@ def test_tokenizer_equals_library():
 def test_local_search_empties_a_bin():
     lengths = [6, 3, 3, 5, 4, 4, 5]
     bins = packing.local_search([[0], [1, 2], [3], [4, 5], [6]], lengths, 10)
-    assert len(bins) == 4 and sorted(i for b in bins for i in b) == list(range(7))
+    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
+
+
+def improving_step(bins, lengths, room):
+    """By brute force: whether any move, 1-1, 2-1 or 1-2 exchange of two underfull bins raises the sum of squared fills."""
+    size = lambda xs: sum(lengths[i] for i in xs)
+    some = lambda b, most: [c for n in range(most + 1) for c in itertools.combinations(b, n)]
+    for a, b in itertools.permutations([x for x in bins if size(x) < room], 2):
+        for give in some(a, 2)[1:]:
+            for take in some(b, 2 if len(give) == 1 else 1)[len(give) > 1 :]:
+                g = size(give) - size(take)
+                if g > 0 and size(b) + g <= room and (size(b) + g) ** 2 + (size(a) - g) ** 2 > size(a) ** 2 + size(b) ** 2:
+                    return True
+    return False
+
+
+def test_local_search_ends_where_no_step_is_left():
+    rng = np.random.default_rng(41)
+    short = 0
+    for trial in range(60):
+        lengths = rng.integers(1, 30 if trial % 2 else 60, 24).tolist()
+        start = packing.best_fit(lengths, 60)
+        search = packing.Bins(start, lengths, 60)
+        bins = [sorted(b) for b in search.search().members if b]
+        assert sorted(i for b in bins for i in b) == list(range(24)) and all(sum(lengths[i] for i in b) <= 60 for b in bins)
+        square = lambda bs: sum(sum(lengths[i] for i in b) ** 2 for b in bs)
+        assert search.fewest <= len(bins) <= len(start) and square(bins) >= square(start)
+        short += len(start) - len(bins)
+        assert len(bins) == search.fewest or not improving_step(bins, lengths, 60)
+    assert short > 10
+
+
+def test_local_search_reaches_the_fewest_bins():
+    rng = np.random.default_rng(42)
+    lengths = np.minimum(4096, rng.lognormal(6.5, 1.2, 4000).astype(int) + 1).tolist()
+    start = packing.best_fit(lengths)
+    assert len(packing.local_search(start, lengths)) == -(-sum(lengths) // 4096) < len(start)
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
