@@ -455,6 +455,38 @@ def test_chaining_finds_short_fuzzy_passages(spark):
     assert got == {frozenset((k,)) for k in range(60)}
 
 
+def test_chaining_meets_where_parts_stand_in_earlier_documents(spark):
+    texts = []
+    for k in range(50):
+        own = [f"p{k}w{i}" for i in range(60 if k % 2 else 120)]
+        for i in range(0, len(own), 20):  # each part stands in an earlier document, some also between the two
+            texts.append((1000 * k + i, prose(30, 6000 + k) + " " + " ".join(own[i : i + 20]) + " " + prose(30, 6100 + k + i)))
+        texts.append((1000 * k + 500, prose(25, 6300 + k) + " " + " ".join(own) + " " + prose(25, 6400 + k)))
+        texts.append((1000 * k + 600, prose(25, 6500 + k) + " " + " ".join(own[20:40])))
+        texts.append((1000 * k + 700, prose(25, 6600 + k) + " " + " ".join(own) + " " + prose(25, 6700 + k)))
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    for dealt in (table.coalesce(1), table.repartition(7)):
+        got = {frozenset((r.doc_id, r.other_id)) for r in chaining.passages(dealt).collect()}
+        assert got >= {frozenset((1000 * k + 500, 1000 * k + 700)) for k in range(50)}
+        assert all(len({x % 1000 for x in pair} & {500, 700}) == 2 for pair in got)
+
+
+def test_each_seed_is_matched_to_the_first_it_shares_most_with():
+    rng = np.random.default_rng(43)
+    for _ in range(30):
+        seed, doc = rng.integers(0, 4, 40).astype(np.uint64), rng.integers(0, 9, 40)
+        key = sum(rng.integers(0, 3, 40).astype(np.uint64) << np.uint64(16 * j) for j in range(4))
+        got = chaining.earlier(seed, key, doc)
+        for i in range(40):
+            want = -1
+            for level in range(4, -1, -1):
+                same = [j for j in range(40) if seed[j] == seed[i] and int(key[j]) >> 16 * (4 - level) == int(key[i]) >> 16 * (4 - level)]
+                if doc[same[0]] != doc[i]:
+                    want = same[0]
+                    break
+            assert got[i] == want
+
+
 def test_thinned_matches_cover_the_same_words():
     rng = np.random.default_rng(13)
     for _ in range(50):
