@@ -1,18 +1,23 @@
 """A hierarchical Pitman-Yor language model, seated by Gibbs sampling.
 
-Three levels: a uniform base over the vocabulary and one unknown word, a word restaurant, and CONTEXTS context
-restaurants that share it as their parent. A token's context is a hash class of the word before it. The
-customers of a context restaurant are the training tokens; each table there sends one customer to the parent.
-A sweep seats the customers of every dish anew, one after the other, by the Chinese-restaurant probabilities
-given the parent's predictive probability, then seats the parent's; after a burn-in, SAMPLES sweeps are kept
-and a token's probability is the mean of their predictive probabilities.
+Three levels: a uniform base over the vocabulary and one unknown word, a word restaurant, and a restaurant for each
+context, the word before (the end token before a text's first), all of which share the word restaurant as their parent.
+Contexts are told apart by a hash whose width grows with the bytes of text (``context_bits``): about one word in ten shares
+its restaurant with another until there are 2^22 restaurants, the bound of what a sweep's sums may take; beyond, more do.
+The customers of a context restaurant are the training tokens; each table there sends one customer to the parent.
+A sweep seats the customers of every dish anew, one after the other, by the Chinese-restaurant probabilities given
+the parent's predictive probability and the restaurant's tables before the sweep, then seats the parent's. After a burn-in
+sweep, SAMPLES sweeps are kept and a token's probability is the mean of their predictive probabilities. From the
+``SINGLE``th customer of a dish on, runs of a sixteenth of those seated share one probability and their number of new
+tables is one binomial draw; all others are seated singly.
 
 Data flow: documents become blocks; a block's tokens are summed to (word, context, document, count) and dealt
-by word range into parts. A part holds all of a word's restaurants, so sweeps need no exchange; sums over all
-words (a context's customers and tables) are taken as the part's own times the number of parts while sampling,
-and exactly for the predictive probabilities, which therefore add up to one. The first pass returns those sums,
-the second seats again by the same random numbers and scores. Words frequent in a block send only their counts
-to their part; their document entries are scored by a join on the word, so no part holds a hot word's tokens.
+by word range into parts, whose number follows from the bytes of text. A part holds all of a word's dishes and is written
+once; each pass reads the parts without another shuffle. Passes exchange only sums: each context's customers and tables and
+the parent's, at most 2^22 numbers each, exact after the counting, the burn-in and the samples. Random numbers are hashes
+of word, context, sweep and customer, so the model is one model however the rows and parts lie. Words frequent in a block
+send only their counts to their part; it sends back one probability per context, which the block's entries are joined with,
+so no part holds a hot word's tokens.
 
 Defined results: a null or empty text is the end token alone; a null id counts as not held out; repeated rows
 are learned from and scored each; with nothing to learn from every token is the unknown word; an empty table
@@ -28,16 +33,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, parallelism, small_batches, table, utf8
+from .common import materialise, small_batches, table, utf8
 from .language import remainder
 
-CONTEXTS = 256
-BURN, SAMPLES = 2, 3
+SAMPLES = 3
 #: (discount, strength) of the context restaurants and of the word restaurant.
 LOWER, UPPER = (0.8, 1.0), (0.6, 1.0)
+#: Customers of a dish that are seated singly.
+SINGLE = 128
 BLOCK_BYTES, BLOCK_DOCS = 3_000_000, 32_000
-#: Parts for each shuffle partition of the session, and word ranges that a part's task seats one after the other.
-PARTS, RANGES = 2, 3
+#: Bytes of text whose tokens make a part, and slices in which the sums are added up.
+PART_BYTES, SLICES = 8_000_000, 64
 #: A word with this share of a block's tokens is frequent there.
 HOT = 0.004
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -57,80 +63,117 @@ def hashes(words: list[bytes]) -> list[int]:
         return list(map(_known.__getitem__, words))
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng) -> np.ndarray:
+def context_bits(size: int) -> int:
+    """Width of the contexts' hash for so many bytes of text: a restaurant for each KB, 2^16 at least and 2^22 at most."""
+    return min(22, max(16, (size >> 10).bit_length()))
+
+
+def uniform(key: np.ndarray, k: int) -> np.ndarray:
+    """A number in [0, 1) for each key and the draw k, the same wherever it is drawn."""
+    with np.errstate(over="ignore"):
+        x = key + np.uint64(k * 0x9E3779B97F4A7C15 & 2**64 - 1)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)) * 2.0**-53
+
+
+def binomial(m: np.ndarray, p: np.ndarray, key: np.ndarray, k: int) -> np.ndarray:
+    """Draws of how many of m succeed: by inversion where few are expected, by the normal approximation elsewhere."""
+    u, mean = uniform(key, 2 * k), m * p
+    z = np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * uniform(key, 2 * k + 1))
+    out = np.clip(np.rint(mean + z * np.sqrt(mean * (1 - p))), 0, m)
+    few = np.flatnonzero(mean < 16)
+    n, q, u = m[few], p[few], u[few]
+    one = (1 - q) ** n
+    below, hits = one.copy(), np.zeros(len(few))
+    for j in range(64):
+        more = u >= below
+        if not more.any():
+            break
+        hits += more
+        one = one * (n - j) / (j + 1) * q / np.maximum(1 - q, 1e-12)
+        below += one
+    out[few] = np.minimum(hits, n)
+    return out
+
+
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
     """Tables after seating each dish's customers in turn.
 
     ``weight`` is the restaurant's (strength + discount * tables) times the dish's parent probability, held
-    during the sweep. From the 32nd customer on, runs of a sixteenth of those seated share one probability.
+    during the sweep; ``key`` is the dish's own number for its random draws.
     """
     order = np.argsort(-customers, kind="stable")
-    c, s = customers[order], weight[order]
+    c, s, key = customers[order], weight[order], key[order]
     t = np.minimum(c, 1).astype(np.float64)
     k = 1
     while n := int(np.searchsorted(-c, -k, side="left")):
         p = s[:n] / (k - discount * t[:n] + s[:n])
-        m = max(1, k // 16 if k >= 32 else 1)
-        t[:n] += (rng.random(n) < p) if m == 1 else rng.binomial(np.minimum(m, c[:n] - k).astype(np.int64), np.minimum(p, 1.0))
-        k += m
+        if k < SINGLE:
+            t[:n] += uniform(key[:n], k) < p
+            k += 1
+        else:
+            m = np.minimum(k // 16, c[:n] - k)
+            t[:n] += binomial(m, np.minimum(p, 1.0), key[:n], k)
+            k += k // 16
     out = np.empty_like(t)
     out[order] = t
     return out
 
 
+class Sums:
+    """What the parts' sums are in all: words, tokens, each context's customers; and after a sweep its tables and the parent's."""
+
+    def __init__(self, words: float, customers: np.ndarray, sweeps: list[tuple[np.ndarray, float, float]]):
+        self.words, self.customers, self.sweeps = words, customers, sweeps
+        self.tokens = float(customers.sum())
+
+    def parent(self, sweep: int, up: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """The word restaurant's probability of words with so many customers and tables there."""
+        d, a = UPPER
+        _, total, roots = self.sweeps[sweep]
+        return (up - d * top + (a + d * roots) / (self.words + 1)) / (a + total)
+
+    def log10(self, context, customers, tables, up, top) -> np.ndarray:
+        """The mean predictive probability's log10 over the samples. ``tables``, ``up`` and ``top``: one array per sample."""
+        d, a = LOWER
+        found = 0.0
+        for s in range(SAMPLES):
+            every = self.sweeps[s + 2][0][context]
+            found = found + (customers - d * tables[s] + (a + d * every) * self.parent(s + 2, up[s], top[s])) / (a + self.customers[context])
+        return np.log10(found / SAMPLES)
+
+
 class Part:
-    """The restaurants of one range of words."""
+    """The dishes of one range of words: ``pw`` and ``pb`` are a pair's word and context, ``c`` its customers."""
 
-    def __init__(self, words: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, customers: np.ndarray, share: int, seed: int, contexts: int = CONTEXTS):
+    def __init__(self, words: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, customers: np.ndarray):
         self.words, self.pw, self.pb, self.c = words, pair_word, pair_context, customers
         self.count = np.bincount(pair_word, customers, len(words))
-        self.contexts = contexts
-        rng = np.random.default_rng([7, seed])
-        (d, a), (d0, a0) = LOWER, UPPER
-        own = np.flatnonzero(customers > 0)
-        pw, pb, c = pair_word[own], pair_context[own], customers[own]
-        t = np.minimum(c, 1).astype(float)
-        up = np.bincount(pw, t, len(words))
-        top = np.minimum(up, 1)
-        vocabulary = share * (self.count > 0).sum() + 1
-        self.t, self.up, self.top = [], [], []
-        many = np.flatnonzero(c > 1)
-        for sweep in range(BURN + SAMPLES):
-            tables, total, roots = share * np.bincount(pb, t, contexts), share * up.sum(), share * top.sum()
-            parent = (up - d0 * top + (a0 + d0 * roots) / vocabulary) / (a0 + total)
-            t[many] = seat(c[many], ((a + d * tables[pb]) * parent[pw])[many], d, rng)
-            up = np.bincount(pw, t, len(words))
-            top = seat(up, np.full(len(words), (a0 + d0 * roots) / vocabulary), d0, rng)
-            if sweep >= BURN:
-                full = np.zeros(len(self.c), dtype=np.float32)
-                full[own] = t
-                self.t.append(full)
-                self.up.append(up)
-                self.top.append(top)
-
-    def sums(self) -> np.ndarray:
-        """[distinct words, per context: customers, per sample and context: tables, per sample: parent's customers and tables]."""
-        per = [np.bincount(self.pb, x, self.contexts) for x in (self.c, *self.t)]
-        return np.concatenate([[(self.count > 0).sum()], *per, [x.sum() for x in self.up], [x.sum() for x in self.top]])
 
+    def sweeps(self, sums: Sums, upto: int):
+        """(tables of each pair, parent's customers and tables of each word) at the start and after each sweep that ``sums`` allow.
 
-class Sums:
-    """The sums over all parts, by name."""
-
-    def __init__(self, flat: np.ndarray, contexts: int = CONTEXTS):
-        self.vocabulary = flat[0]
-        rows = flat[1 : 1 + contexts * (1 + SAMPLES)].reshape(1 + SAMPLES, contexts)
-        self.customers, self.tables = rows[0], rows[1:]
-        self.up, self.top = flat[1 + contexts * (1 + SAMPLES) :].reshape(2, SAMPLES)
-        self.tokens = self.customers.sum()
-
-    def log10(self, context, customers, tables, up, top) -> np.ndarray:
-        """The mean predictive probability's log10. ``tables``, ``up`` and ``top``: one array per sample."""
+        Sweep 0 is one table for each pair that has customers; a sweep reads the sums of the one before it, samples those of the burn-in.
+        """
         (d, a), (d0, a0) = LOWER, UPPER
-        total = 0.0
-        for s in range(SAMPLES):
-            parent = (up[s] - d0 * top[s] + (a0 + d0 * self.top[s]) / (self.vocabulary + 1)) / (a0 + self.up[s])
-            total = total + (customers - d * tables[s] + (a + d * self.tables[s][context]) * parent) / (a + self.customers[context])
-        return np.log10(total / SAMPLES)
+        t = np.minimum(self.c, 1).astype(np.float64)
+        up = np.bincount(self.pw, t, len(self.words))
+        top = np.minimum(up, 1)
+        yield t, up, top
+        many = np.flatnonzero(self.c > 1)
+        c, pw, pb = self.c[many], self.pw[many], self.pb[many]
+        with np.errstate(over="ignore"):
+            own = (self.words[pw] ^ np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD) + pb.astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53)
+            for sweep in range(1, upto + 1):
+                before = min(sweep - 1, 1)
+                tables, _, roots = sums.sweeps[before]
+                turn = np.uint64(sweep * 0xA0761D6478BD642F & 2**64 - 1)
+                t = np.minimum(self.c, 1).astype(np.float64)
+                t[many] = seat(c, (a + d * tables[pb]) * sums.parent(before, up, top)[pw], d, own ^ turn)
+                up = np.bincount(self.pw, t, len(self.words))
+                top = seat(up, np.full(len(self.words), (a0 + d0 * roots) / (sums.words + 1)), d0, self.words ^ turn)
+                yield t, up, top
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -145,30 +188,39 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-_ENTRY = ("<u8", "<u4", "u1", "<u2", "<u4", "<u4")
+_ENTRY = ("<u8", "<u4", "<u4", "<u2", "<u2", "<u4")
+
+
+def _split(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as (which, count) of at most 65535 each."""
+    times = (n + 65534) // 65535
+    which = np.repeat(np.arange(len(n)), times)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    return which, np.minimum(n[which] - 65535 * nth, 65535)
 
 
-def _block(number: int, docs: list[tuple], parts: int) -> list[tuple]:
+def _block(number: int, docs: list[tuple], parts: int, bits: int) -> list[tuple]:
     """Rows (kind, part, word, block, blob) of one block: its documents, cold entries, hot counts, hot entries."""
     docs = sorted(docs, key=lambda x: x[1])  # training documents come first
     train = sum(not held for _, held, _ in docs)
-    word, doc = [], []
-    for k, (_, _, text) in enumerate(docs):
+    word, size = [], []
+    for _, _, text in docs:
         own = hashes(text.lower().split()) if text else []
         word.append(np.array([*own, int(END)], dtype=np.uint64))
-        doc.append(len(own) + 1)
-    tokens = np.array(doc, dtype=np.int64)
+        size.append(len(own) + 1)
+    tokens = np.array(size, dtype=np.int64)
     w = np.concatenate(word)
     before = np.empty_like(w)
     before[1:] = w[:-1]
     before[np.cumsum(tokens) - tokens] = END
-    b = (before >> np.uint64(56)).astype(np.int64)
-    d = np.repeat(np.arange(len(docs)), tokens)
+    context = (before >> np.uint64(64 - bits)).astype(np.int64)
     words, at = np.unique(w, return_inverse=True)
-    key, n = np.unique((at << 24) | (b << 16) | d, return_counts=True)
-    ew, eb, ed = key >> 24, ((key >> 16) & 255).astype(np.uint8), (key & 65535).astype(np.uint16)
-    per_word = np.bincount(at, minlength=len(words))
-    hot = per_word > max(64, HOT * len(w))
+    # one number per (word, context, document): words of a block fit 21 bits, documents 15
+    key, n = np.unique((at << 37) | (context << 15) | np.repeat(np.arange(len(docs)), tokens), return_counts=True)
+    which, n = _split(n)
+    key = key[which]
+    ew, eb, ed = key >> 37, (key >> 15) & (1 << 22) - 1, key & 32767
+    hot = np.bincount(at, minlength=len(words)) > max(64, HOT * len(w))
     ids = pa.array([i for i, _, _ in docs], pa.int64())
     meta = _pack(np.array(ids.fill_null(0), dtype="<i8"), np.array(ids.is_null(), dtype="u1"), np.array([h for _, h, _ in docs], dtype="u1"), tokens.astype("<u4"))
     rows = [(0, number % parts, 0, number, meta)]
@@ -181,17 +233,18 @@ def _block(number: int, docs: list[tuple], parts: int) -> list[tuple]:
         if len(cold):
             keep = np.repeat(~hot[lo:hi], entries[lo:hi])
             e = slice(stop[lo] - entries[lo], stop[hi - 1])
-            rows.append((1, p, 0, number, _pack(words[cold], entries[cold].astype("<u4"), eb[e][keep], ed[e][keep], n[e][keep].astype("<u4"), np.array([train], dtype="<u4"))))
+            rows.append((1, p, 0, number, _pack(words[cold], entries[cold].astype("<u4"), eb[e][keep].astype("<u4"), ed[e][keep].astype("<u2"), n[e][keep].astype("<u2"), np.array([train], dtype="<u4"))))
     for k in np.flatnonzero(hot).tolist():
         e = slice(stop[k] - entries[k], stop[k])
-        learned = np.bincount(eb[e], n[e] * (ed[e] < train), CONTEXTS).astype("<u4")
+        own, place = np.unique(eb[e], return_inverse=True)
+        learned = np.bincount(place, n[e] * (ed[e] < train), len(own))
         signed = int(words[k].astype(np.int64))
-        rows.append((2, int(part[k]), signed, number, learned.tobytes()))
-        rows.append((3, 0, signed, number, _pack(words[k : k + 1], np.array([entries[k]], dtype="<u4"), eb[e], ed[e], n[e].astype("<u4"), np.array([train], dtype="<u4"))))
+        rows.append((2, int(part[k]), signed, number, _pack(own.astype("<u4"), learned.astype("<u4"))))
+        rows.append((3, number % parts, signed, number, _pack(place.astype("<u4"), ed[e].astype("<u2"), n[e].astype("<u2"))))
     return rows
 
 
-def blocks(docs: DataFrame, held_out, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blocks(docs: DataFrame, held_out, parts: int, bits: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's tokens as blocks' rows."""
     small_batches(docs.sparkSession)
     schema = "kind int, part int, word long, block long, blob binary"
@@ -203,7 +256,7 @@ def blocks(docs: DataFrame, held_out, parts: int, id_col: str = "doc_id", text_c
         number, own, size = TaskContext.get().partitionId() << 24, [], 0
 
         def rows():
-            got = _block(number, own, parts)
+            got = _block(number, own, parts, bits)
             for i in range(0, len(got), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got[i : i + 64], strict=True), kinds, strict=True)], names=["kind", "part", "word", "block", "blob"])
 
@@ -220,127 +273,163 @@ def blocks(docs: DataFrame, held_out, parts: int, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long"), held_out, utf8(text_col)).mapInArrow(run, schema)
 
 
-def _learn(pdf: pd.DataFrame, parts: int):
-    """A part's restaurants by word range: (restaurants, cold entries by block, the pair of each entry, hot words)."""
-    number = int(pdf.part.iloc[0])
-    cold = [(r.block, _unpack(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].sort_values("block").itertuples()]
-    hot = [(np.int64(r.word).astype(np.uint64), np.frombuffer(r.blob, "<u4")) for r in pdf[pdf.kind == 2].sort_values(["block", "word"]).itertuples()]
-    every = np.uint64(parts * RANGES)
-    within = lambda w: (w >> np.uint64(32)) * every >> np.uint64(32)
-    for v in range(number * RANGES, (number + 1) * RANGES):
-        some = []
-        for block, (w, n, context, doc, count, train) in cold:
-            lo, hi = np.searchsorted(within(w), [v, v + 1])
-            if lo < hi:
-                first = int(n[:lo].sum(dtype=np.int64))
-                e = slice(first, first + int(n[lo:hi].sum(dtype=np.int64)))
-                some.append((block, w[lo:hi], n[lo:hi], context[e], doc[e], count[e], int(train[0])))
-        often = [(w, c) for w, c in hot if within(w) == v]
-        if some or often:
-            yield _range(some, often, parts * RANGES, v)
-
-
-def _range(cold: list, hot: list, share: int, number: int) -> tuple[Part, list, np.ndarray, set]:
-    named = np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in cold), np.array([w for w, _ in hot], dtype=np.uint64)])
+#: A part as written: words; each pair's word, context, customers; blocks, their entries; each entry's pair, document, count; hot (block, word), contexts; each one's pair.
+_PART = ("<u8", "<u4", "<u4", "<u8", "<i8", "<u4", "<u4", "<u2", "<u2", "<i8", "<i8", "<u4", "<u4")
+
+
+def _merged(pdf: pd.DataFrame) -> bytes | None:
+    """All of a part's rows as one blob."""
+    cold = [(r.block, *_unpack(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].sort_values("block").itertuples()]
+    hot = [(r.block, r.word, *_unpack(r.blob, "<u4", "<u4")) for r in pdf[pdf.kind == 2].sort_values(["block", "word"]).itertuples()]
+    if not cold and not hot:
+        return None
+    join = lambda kind, xs: np.concatenate([np.zeros(0, kind), *xs])
+    named = join(np.uint64, [x[1] for x in cold] + [np.array([w for _, w, _, _ in hot], dtype=np.int64).view(np.uint64)])
     words, at = np.unique(named, return_inverse=True)
-    sizes = np.concatenate([np.zeros(0, np.int64), *(x[2] for x in cold)]).astype(np.int64)
-    key = np.repeat(at[: len(sizes)] * CONTEXTS, sizes)
-    key += np.concatenate([np.zeros(0, np.uint8), *(x[3] for x in cold)])
-    hot_at = at[len(sizes) :]
-    key = np.concatenate([key, *(k * CONTEXTS + np.arange(CONTEXTS) for k in hot_at)])
+    sizes = join(np.int64, [x[2].astype(np.int64) for x in cold])
+    word = np.concatenate([np.repeat(at[: len(sizes)], sizes), np.repeat(at[len(sizes) :], [len(x[2]) for x in hot])])
+    key = word << 22 | join(np.int64, [x[3] for x in cold] + [x[2] for x in hot]).astype(np.int64)
     pairs, of = np.unique(key, return_inverse=True)
-    learned = np.concatenate([np.zeros(0), *(x[5] * (x[4] < x[6]) for x in cold), *(c for _, c in hot)])
+    learned = join(np.float64, [x[5] * (x[4] < x[6][0]) for x in cold] + [x[3] for x in hot])
     customers = np.bincount(of, learned, len(pairs))
-    return Part(words, pairs // CONTEXTS, pairs % CONTEXTS, customers, share, number), cold, of, {int(k) for k in hot_at}
+    many = sum(len(x[3]) for x in cold)
+    return _pack(
+        words, (pairs >> 22).astype("<u4"), (pairs & (1 << 22) - 1).astype("<u4"), customers.astype("<u8"),
+        np.array([x[0] for x in cold], dtype="<i8"), np.array([len(x[3]) for x in cold], dtype="<u4"), of[:many].astype("<u4"), join("<u2", [x[4] for x in cold]), join("<u2", [x[5] for x in cold]),
+        np.array([x[0] for x in hot], dtype="<i8"), np.array([x[1] for x in hot], dtype="<i8"), np.array([len(x[2]) for x in hot], dtype="<u4"), of[many:].astype("<u4"),
+    )
 
 
-_SUM = "block long, docs binary, model binary, base binary, known binary"
+def _opened(blob: bytes) -> tuple[Part, list[np.ndarray]]:
+    words, pw, pb, c, *rest = _unpack(blob, *_PART)
+    return Part(words, pw.astype(np.int64), pb.astype(np.int64), c.astype(np.float64)), rest
 
 
-def _per_doc(block: int, sums: np.ndarray) -> tuple:
-    """A block's document sums (model, base, known, entries) as a row, for documents that have entries."""
-    there = np.flatnonzero(sums[3])
-    return (block, there.astype("<u2").tobytes(), sums[0][there].tobytes(), sums[1][there].tobytes(), sums[2][there].astype("<u4").tobytes())
+def _added(parts: DataFrame, bits: int, values) -> list[np.ndarray]:
+    """Sums over all parts of ``values(part)``: (per-pair weights, a number) each; contexts' sums, then the numbers.
 
+    A task adds its parts up and passes on one row per slice of the contexts; the driver gets 2^bits numbers for each value.
+    """
+    width = (1 << bits) // SLICES
 
-def _add(sums: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> None:
-    for row, x in zip(sums, (*values, None), strict=True):
-        row += np.bincount(doc, x, len(row))
+    def task(frames):
+        total: list[np.ndarray] = []
+        for pdf in frames:
+            for blob in pdf.blob:
+                part, _ = _opened(blob)
+                for j, (weights, number) in enumerate(values(part)):
+                    if len(total) <= j:
+                        total.append(np.zeros((1 << bits) + 1))
+                    if weights is not None:
+                        total[j][:-1] += np.bincount(part.pb, weights, 1 << bits)
+                    total[j][-1] += number
+        rows = [(j, i, x[i * width : (i + 1) * width + (i == SLICES - 1)].tobytes()) for j, x in enumerate(total) for i in range(SLICES)]
+        yield pd.DataFrame(rows, columns=["value", "slice", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(sums=[sum(np.frombuffer(x) for x in pdf.sums).tobytes()])
+
+    schema = "value int, slice int, sums binary"
+    found = parts.select("blob").mapInPandas(task, schema).groupBy("value", "slice").applyInPandas(add, schema).collect()
+    out: dict[int, list] = {}
+    for r in sorted(found, key=lambda r: (r.value, r.slice)):
+        out.setdefault(r.value, []).append(np.frombuffer(r.sums))
+    return [np.concatenate(x) for _, x in sorted(out.items())]
+
+
+def fitted(parts: DataFrame, bits: int) -> Sums:
+    """The sums of the counts, of the burn-in sweep and of the samples, each exact before the next begins."""
+
+    def counts(part: Part):
+        _, up, top = next(part.sweeps(None, 0))
+        yield part.c, float((part.count > 0).sum())
+        yield np.minimum(part.c, 1), float(up.sum())
+
+    def swept(sums: Sums, first: int, upto: int):
+        def values(part: Part):
+            for sweep, (t, up, top) in enumerate(part.sweeps(sums, upto)):
+                if sweep >= first:
+                    yield t, float(up.sum())
+                    yield None, float(top.sum())
+
+        got = _added(parts, bits, values)
+        return [(t[:-1], float(t[-1]), float(n[-1])) for t, n in zip(got[::2], got[1::2], strict=True)]
+
+    got = _added(parts, bits, counts)
+    if not got:
+        none = np.zeros(1 << bits)
+        return Sums(0.0, none, [(none, 0.0, 0.0)] * (SAMPLES + 2))
+    sums = Sums(float(got[0][-1]), got[0][:-1], [(got[1][:-1], float(got[1][-1]), float(got[0][-1]))])
+    sums.sweeps += swept(sums, 1, 1)
+    sums.sweeps += swept(sums, 2, SAMPLES + 1)
+    return sums
+
+
+_SUM = "block long, docs binary, model binary, base binary, known binary"
+_SUM_COLUMNS = ["block", "docs", "model", "base", "known"]
+
+
+def _per_doc(block: int, doc: np.ndarray, model: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple:
+    """A block's entries as a row of sums for each document that has some."""
+    there = np.flatnonzero(np.bincount(doc))
+    add = lambda x: np.bincount(doc, x)[there]
+    return (int(block), there.astype("<u2").tobytes(), add(model).tobytes(), add(base).tobytes(), add(known).astype("<u4").tobytes())
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows not held out."""
-    spark = docs.sparkSession
-    parts = PARTS * parallelism(spark)
-    rows = materialise(blocks(docs, held_out, parts, id_col, text_col), "tokens")
-    width = 1 + CONTEXTS * (1 + SAMPLES) + 2 * SAMPLES
+    size = docs.agg(F.sum(F.octet_length(utf8(text_col)).cast("long")).alias("n")).first().n or 0
+    count, bits = max(1, -(-size // PART_BYTES)), context_bits(size)
     # one part per partition: hashing so few numbers would put several parts' blobs into one task
-    by_part = rows.filter("kind IN (1, 2)").repartitionById(parts, F.col("part")).groupBy("part")
-
-    def seated(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, out = np.zeros(width), []
-        for part, _, _, hot in _learn(pdf, parts):
-            total += part.sums()
-            start = np.searchsorted(part.pw, np.arange(len(part.words) + 1))
-            for k in sorted(hot):
-                p = slice(start[k], start[k + 1])
-                state = _pack(part.pb[p].astype("<i8"), part.c[p], *(t[p] for t in part.t), np.array([x[k] for x in (*part.up, *part.top)]), np.array([part.count[k]]))
-                out.append((int(part.words[k].astype(np.int64)), state))
-        out.append((None, total.tobytes()))
-        return pd.DataFrame({"word": pd.array([w for w, _ in out], dtype="Int64"), "state": [x for _, x in out]})
-
-    states = materialise(by_part.applyInPandas(seated, "word long, state binary"), "seats")
-
-    def added(frames):
-        total = None
+    dealt = blocks(docs, held_out, count, bits, id_col, text_col).repartitionById(count, F.col("part"))
+    schema = "kind int, word long, block long, blob binary"
+
+    def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = pdf[pdf.kind.isin((0, 3))][["kind", "word", "block", "blob"]]
+        blob = _merged(pdf)
+        return kept if blob is None else pd.concat([kept, pd.DataFrame({"kind": [1], "word": [0], "block": [0], "blob": [blob]})])
+
+    rows = materialise(dealt.groupBy("part").applyInPandas(gathered, schema), "parts")
+    parts = rows.filter("kind = 1")
+    sums = fitted(parts, bits)
+
+    def scored(frames):
         for pdf in frames:
-            for blob in pdf.state:
-                x = np.frombuffer(blob)
-                total = x if total is None else total + x
-        if total is not None:
-            yield pd.DataFrame({"i": np.arange(len(total)), "x": total})
-
-    flat = np.zeros(width)
-    for r in states.filter("word IS NULL").mapInPandas(added, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
-        flat[r.i] = r.x
-    sums = Sums(flat)
-
-    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = {r.block: np.zeros((4, int(_unpack(r.blob, *_ENTRY)[3].max()) + 1)) for r in pdf[pdf.kind == 1].itertuples()}
-        for part, cold, of, _ in _learn(pdf, parts):
-            model = sums.log10(part.pb, part.c, part.t, [x[part.pw] for x in part.up], [x[part.pw] for x in part.top])
-            base, known = np.log10(part.count + 1), part.count > 0
-            at = 0
-            for block, _, _, context, doc, n, _ in cold:
-                pair = of[at : at + len(context)]
-                at += len(context)
-                word = part.pw[pair]
-                _add(docs[block], doc, n * model[pair], n * base[word], n * known[word])
-        return pd.DataFrame([_per_doc(k, v) for k, v in docs.items()], columns=["block", "docs", "model", "base", "known"])
+            for blob in pdf.blob:
+                part, (at, sizes, pair, doc, n, hot_block, hot_word, hot_sizes, hot_pair) = _opened(blob)
+                kept = list(part.sweeps(sums, SAMPLES + 1))[2:]
+                model = sums.log10(part.pb, part.c, [t for t, _, _ in kept], [x[part.pw] for _, x, _ in kept], [x[part.pw] for _, _, x in kept])
+                base, known = np.log10(part.count + 1)[part.pw], (part.count > 0)[part.pw]
+                stop = np.cumsum(sizes.astype(np.int64))
+                out = []
+                for block, lo, hi in zip(at.tolist(), (stop - sizes).tolist(), stop.tolist(), strict=True):
+                    p, m = pair[lo:hi], n[lo:hi]
+                    out.append((None, *_per_doc(block, doc[lo:hi], m * model[p], m * base[p], m * known[p]), None))
+                yield pd.DataFrame(out, columns=["word", *_SUM_COLUMNS, "pairs"])
+                stop = np.cumsum(hot_sizes.astype(np.int64))
+                for block, word, lo, hi in zip(hot_block.tolist(), hot_word.tolist(), (stop - hot_sizes).tolist(), stop.tolist(), strict=True):
+                    p = hot_pair[lo:hi]
+                    yield pd.DataFrame([(word, block, None, None, None, None, _pack(model[p], base[p[:1]], known[p[:1]].astype("u1")))], columns=["word", *_SUM_COLUMNS, "pairs"])
+
+    found = materialise(parts.select("blob").mapInPandas(scored, f"word long, {_SUM}, pairs binary"), "scores")
 
     def hot_scored(frames):
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                context, c, *t, ends, count = _unpack(r.state, "<i8", "<f8", *["<f4"] * SAMPLES, "<f8", "<f8")
-                full = [np.zeros(CONTEXTS) for _ in range(1 + SAMPLES)]
-                for f, x in zip(full, (c, *t), strict=True):
-                    f[context] = x
-                model = sums.log10(np.arange(CONTEXTS), full[0], full[1:], ends[:SAMPLES], ends[SAMPLES:])
-                _, _, b, doc, n, _ = _unpack(r.blob, *_ENTRY)
-                own = np.zeros((4, int(doc.max()) + 1))
-                _add(own, doc, n * model[b], n * np.log10(count[0] + 1), n * float(count[0] > 0))
-                out.append(_per_doc(r.block, own))
-            yield pd.DataFrame(out, columns=["block", "docs", "model", "base", "known"])
-
-    hot = rows.filter("kind = 3").select("word", "block", "blob").join(states.filter("word IS NOT NULL"), "word")
-    pieces = by_part.applyInPandas(scored, _SUM).union(hot.mapInPandas(hot_scored, _SUM))
-    offset, tokens = float(np.log10(sums.tokens + sums.vocabulary + 1)), int(sums.tokens)
+                place, doc, n = _unpack(r.blob, "<u4", "<u2", "<u2")
+                model, base, known = _unpack(r.pairs, "<f8", "<f8", "u1")
+                out.append(_per_doc(r.block, doc, n * model[place], n * base[0], n * known[0].astype(np.int64)))
+            yield pd.DataFrame(out, columns=_SUM_COLUMNS)
+
+    hot = rows.filter("kind = 3").select("word", "block", "blob").join(found.filter("word IS NOT NULL").select("word", "block", "pairs"), ["word", "block"])
+    pieces = found.filter("word IS NULL").select(*_SUM_COLUMNS).union(hot.select("block", "blob", "pairs").mapInPandas(hot_scored, _SUM))
+    offset, tokens = float(np.log10(sums.tokens + sums.words + 1)), int(sums.tokens)
 
     def joined(key, pdf: pd.DataFrame, meta: pd.DataFrame) -> pd.DataFrame:
         ids, null, held, n = _unpack(meta.blob.iloc[0], "<i8", "u1", "u1", "<u4")
         model, base, known = (np.zeros(len(ids)) for _ in range(3))
-        for r in pdf.sort_values("docs").itertuples():
+        for r in pdf.itertuples():
             at = np.frombuffer(r.docs, "<u2")
             model[at] += np.frombuffer(r.model)
             base[at] += np.frombuffer(r.base)

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("tessella.llm")
 from tessella.llm import chaining, decontamination, language, mih, packing, pii, pitman_yor, quality, sharding, simhash  # noqa: E402
@@ -539,14 +540,103 @@ def test_pitman_yor(docs, empty, rows):
     assert pitman_yor.score(empty, held).count() == 0
 
 
+def test_pitman_yor_seats_by_the_chinese_restaurant():
+    keys = np.random.default_rng(51).integers(0, 2**64, 4000, dtype=np.uint64)
+    for customers, weight, d in ((2, 0.3, 0.8), (9, 0.05, 0.8), (60, 1.5, 0.6), (127, 0.2, 0.7), (1000, 0.4, 0.7)):
+        chance = np.zeros(customers + 1)  # of each number of tables, one customer after the other
+        chance[1] = 1.0
+        for k in range(1, customers):
+            t = np.arange(customers + 1)
+            p = weight / (k - d * t + weight)
+            grown = chance * np.clip(p, 0, 1)
+            chance = chance - grown
+            chance[1:] += grown[:-1]
+        t = np.arange(customers + 1)
+        mean = (chance * t).sum()
+        spread = math.sqrt((chance * t * t).sum() - mean**2)
+        got = pitman_yor.seat(np.full(4000, customers, dtype=float), np.full(4000, weight), d, keys)
+        assert abs(got.mean() - mean) < max(4 * spread / math.sqrt(4000), 0.01 * mean) and abs(got.std() - spread) < 0.1 * spread + 0.02
+
+
+def brute_pitman_yor(texts, held, bits, hot=None):
+    """The model by dictionaries, customers seated one after the other with the same random numbers."""
+    py = pitman_yor
+    number = lambda w: xxhash.xxh64_intdigest(w)
+    docs = []
+    for t in texts:
+        ws = [number(w) for w in (t or "").lower().encode().split()] + [int(py.END)]
+        docs.append([(w, u >> (64 - bits)) for w, u in zip(ws, [int(py.END), *ws[:-1]], strict=True)])
+    c = collections.Counter(x for d, h in zip(docs, held, strict=True) if not h for x in d)
+    words, (d, a), (d0, a0) = {w for w, _ in c}, py.LOWER, py.UPPER
+    customers = collections.Counter()
+    for (_, b), n in c.items():
+        customers[b] += n
+
+    def totals(t):
+        up, tables = collections.Counter(), collections.Counter()
+        for (w, b), n in t.items():
+            up[w] += n
+            tables[b] += n
+        return up, tables
+
+    def seated(n, weight, discount, key):
+        t = 1
+        for k in range(1, n):
+            t += float(py.uniform(np.array([key & 2**64 - 1], dtype=np.uint64), k)[0]) < weight / (k - discount * t + weight)
+        return t
+
+    t = dict.fromkeys(c, 1)
+    up, tables = totals(t)
+    state = [(t, up, dict.fromkeys(words, 1), tables)]
+    parent = lambda s, w: (s[1][w] - d0 * s[2].get(w, 0) + (a0 + d0 * sum(s[2].values())) / (len(words) + 1)) / (a0 + sum(s[1].values()))
+    for sweep in range(1, py.SAMPLES + 2):
+        then, last = state[min(sweep - 1, 1)], state[-1]
+        turn = sweep * 0xA0761D6478BD642F & 2**64 - 1
+        # the sums are those after the burn-in, the dish's own customers those of the sweep before
+        mixed = lambda w: (last[1][w] - d0 * last[2][w] + (a0 + d0 * sum(then[2].values())) / (len(words) + 1)) / (a0 + sum(then[1].values()))  # noqa: E731, B023
+        t = {}
+        for (w, b), n in c.items():
+            key = (((w ^ 0xD6E8FEB86659FD93) * 0xFF51AFD7ED558CCD + b * 0xC4CEB9FE1A85EC53) & 2**64 - 1) ^ turn
+            t[w, b] = seated(n, (a + d * then[3][b]) * mixed(w), d, key)
+        up, tables = totals(t)
+        state.append((t, up, {w: seated(up[w], (a0 + d0 * sum(then[2].values())) / (len(words) + 1), d0, w ^ turn) for w in words}, tables))
+    out = []
+    for doc in docs:
+        total = 0.0
+        for w, b in doc:
+            p = [(c[w, b] - d * s[0].get((w, b), 0) + (a + d * s[3][b]) * parent(s, w)) / (a + customers[b]) for s in state[2:]]
+            total += math.log10(sum(p) / len(p))
+        out.append(total)
+    return out
+
+
+def test_pitman_yor_equals_plain_gibbs(spark, monkeypatch):
+    rng = np.random.default_rng(52)
+    weight = 1 / np.arange(5, 65)  # the first is hot in a block of all texts, and no word has SINGLE tables
+    texts = [" ".join(f"W{x}" for x in rng.choice(60, rng.integers(0, 40), p=weight / weight.sum())) for _ in range(80)] + [None, "", "new words only"]
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    held = (F.col("doc_id") % 5 == 2).alias("h")
+    want = brute_pitman_yor(texts, [k % 5 == 2 for k in range(len(texts))], 16)
+    for partitions, part_bytes in ((1, 8_000_000), (6, 500), (2, 2_000)):
+        monkeypatch.setattr(pitman_yor, "PART_BYTES", part_bytes)
+        got = {r.doc_id: r.score for r in pitman_yor.score(table.repartition(partitions), held).collect()}
+        assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
+
+
 def test_pitman_yor_adds_up_to_one():
     rng = np.random.default_rng(2)
     pw, pb = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
-    part = pitman_yor.Part(np.arange(50), pw, pb, rng.integers(0, 9, 200).astype(float), 1, 1)
-    sums = pitman_yor.Sums(part.sums())
+    part = pitman_yor.Part(np.arange(50, dtype=np.uint64), pw, pb, rng.integers(0, 9, 200).astype(float))
+    context = lambda x: np.bincount(pb, x, 4)
+    t, up, top = next(part.sweeps(None, 0))
+    sums = pitman_yor.Sums(float((part.count > 0).sum()), context(part.c), [(context(t), up.sum(), top.sum())])
+    for first in (1, 2):
+        every = list(part.sweeps(sums, 1 if first == 1 else pitman_yor.SAMPLES + 1))
+        sums.sweeps += [(context(t), up.sum(), top.sum()) for t, up, top in every[first:]]
+    kept = every[2:]
     for b in range(4):
         at = np.flatnonzero(pb == b)
-        p = 10 ** sums.log10(pb[at], part.c[at], [t[at] for t in part.t], [x[pw[at]] for x in part.up], [x[pw[at]] for x in part.top])
+        p = 10 ** sums.log10(pb[at], part.c[at], [t[at] for t, _, _ in kept], [u[pw[at]] for _, u, _ in kept], [x[pw[at]] for _, _, x in kept])
         seen = part.count > 0
         unknown = 10 ** sums.log10(np.array([b]), np.zeros(1), [np.zeros(1)] * 3, [np.zeros(1)] * 3, [np.zeros(1)] * 3)
         assert math.isclose(p[seen].sum() + unknown[0], 1, rel_tol=1e-6)
