@@ -44,16 +44,18 @@ def reachable(starts: DataFrame, edges: DataFrame, high: int) -> DataFrame:
 
 
 def shortest_paths(starts: DataFrame, edges: DataFrame, high: int) -> DataFrame:
-    """(src, dst, nodes): every path of least length, by joining levels with edges that go one level on."""
-    levels = reachable(starts, edges, high)
-    e = edges.select("src", "dst").distinct()
-    paths = out = levels.filter("depth = 0").select("src", "dst", F.array("dst").alias("nodes"))
+    """(src, dst, nodes): every path of least length. Paths go along with the levels, so each level is planned once."""
+    e = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__next")).distinct()
+    seen = starts.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth"), F.array(F.array("src")).alias("paths")).distinct()
     for depth in range(1, high + 1):
-        on = paths.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst")
-        here = levels.filter(F.col("depth") == depth).select("src", F.col("dst").alias("next"))
-        paths = on.join(here, ["src", "next"]).select("src", F.col("next").alias("dst"), F.array_append("nodes", F.col("next")).alias("nodes"))
-        out = out.unionByName(paths)
-    return out
+        step = seen.join(e, (F.col("dst") == F.col("__from")) & (F.col("depth") == depth - 1), "left")
+        own = F.struct("dst", "depth", "paths")
+        new = F.struct(F.col("__next").alias("dst"), F.lit(depth).alias("depth"), F.transform("paths", lambda p: F.array_append(p, F.col("__next"))).alias("paths"))
+        both = step.select("src", F.inline(F.when(F.col("__next").isNull(), F.array(own)).otherwise(F.array(own, new))))
+        found = both.groupBy("src", "dst").agg(F.min("depth").alias("depth"), F.collect_set(F.struct("depth", "paths")).alias("all"))
+        best = F.filter("all", lambda x: x["depth"] == F.col("depth"))
+        seen = found.select("src", "dst", "depth", F.flatten(F.transform(best, lambda x: x["paths"])).alias("paths"))
+    return seen.select("src", "dst", F.explode("paths").alias("nodes"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

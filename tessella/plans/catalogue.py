@@ -50,7 +50,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "f7_null_test": "SELECT c.c_custkey, o.o_orderkey IS NULL AS lonely FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 WHERE o.o_orderkey IS NULL",
     "f8_boolean": "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 400000) AND NOT (o_orderpriority = '1-URGENT' AND o_custkey % 2 = 0)",
     "f9_quantified": (
-        "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = 'Brand#3' AND NOT coalesce(p.p_retailprice >= q.p_retailprice, false))",
+        "SELECT p_partkey FROM part CROSS JOIN (SELECT max(p_retailprice) AS hi, count(*) AS n, count(p_retailprice) AS known FROM part WHERE p_brand = 'Brand#3') q WHERE n = 0 OR (n = known AND p_retailprice >= hi)",
         "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_brand = 'Brand#3')",
     ),
     "f10_cross_field": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey % 100 = l_suppkey % 100 AND l_quantity > l_linenumber * 6",
@@ -130,12 +130,20 @@ SQL: dict[str, str | tuple[str, str]] = {
     "u4_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 47",
     "u4_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier",
     "q1_cte": "WITH t AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), b AS (SELECT CASE WHEN s < 500000 THEN 'small' WHEN s < 2000000 THEN 'mid' ELSE 'large' END AS band, s FROM t) SELECT band, count(*) AS n, round(avg(s), 2) AS m FROM b GROUP BY band",
-    "q2_recursive": "WITH RECURSIVE t AS (SELECT CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS depth UNION ALL SELECT n * 2 AS n, depth + 1 AS depth FROM t WHERE depth < 10) SELECT t.depth, t.n, count(c_custkey) AS c FROM t LEFT JOIN customer ON c_custkey <= t.n GROUP BY t.depth, t.n",
-    "q3_materialized": "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000) SELECT a.o_custkey, count(*) AS n FROM big a JOIN big b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice GROUP BY a.o_custkey",
+    "q2_recursive": (
+        # customers per doubling first: 64 rows at most meet the levels
+        """WITH RECURSIVE t AS (SELECT CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS depth UNION ALL SELECT n * 2 AS n, depth + 1 AS depth FROM t WHERE depth < 10),
+        b AS (SELECT CASE WHEN c_custkey <= 1 THEN 0 ELSE length(bin(c_custkey - 1)) END AS band, count(*) AS k FROM customer WHERE c_custkey IS NOT NULL GROUP BY 1)
+        SELECT t.depth, t.n, coalesce(sum(k), 0) AS c FROM t LEFT JOIN b ON band <= t.depth GROUP BY t.depth, t.n""",
+        "WITH RECURSIVE t AS (SELECT CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS depth UNION ALL SELECT n * 2 AS n, depth + 1 AS depth FROM t WHERE depth < 10) SELECT t.depth, t.n, count(c_custkey) AS c FROM t LEFT JOIN customer ON c_custkey <= t.n GROUP BY t.depth, t.n",
+    ),
+    "q3_materialized": (
+        # the repartitioning is the fence: both sides read its one exchange
+        "WITH big AS (SELECT /*+ REPARTITION(o_custkey) */ o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000) SELECT a.o_custkey, count(*) AS n FROM big a JOIN big b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice GROUP BY a.o_custkey",
+        "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 300000) SELECT a.o_custkey, count(*) AS n FROM big a JOIN big b ON a.o_custkey = b.o_custkey AND a.o_totalprice < b.o_totalprice GROUP BY a.o_custkey",
+    ),
     "q4_derived": "SELECT t.s, count(*) AS n FROM (SELECT c_custkey, count(o_orderkey) AS s FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) t GROUP BY t.s",
     "q5_scalar": "SELECT p_partkey, p_retailprice FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand) AND p_size = (SELECT max(p_size) FROM part)",
-    "g7_triangle": """WITH e AS (SELECT DISTINCT l_partkey % 60 AS a, l_suppkey % 60 + 0 AS b FROM lineitem WHERE l_partkey % 60 <> l_suppkey % 60)
-        SELECT x.a AS a, x.b AS b, y.b AS c FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a AND z.b = x.a WHERE x.a < x.b AND x.a < y.b""",
     "e1_case": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'part' END AS s, CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS big FROM orders",
     "e2_coalesce": "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s FROM customer",
     "e3_greatest": "SELECT l_orderkey, l_linenumber, l_partkey, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS l FROM lineitem WHERE l_quantity = 50",

@@ -80,6 +80,14 @@ def s5_sample(spark, d):
     return R.sample_rows(_t(spark, d, "customer"), 50, "c_custkey").select("c_custkey")
 
 
+def s5_sample_share(spark, d):
+    return R.sample_share(_t(spark, d, "orders"), 0.1, "o_orderkey").select("o_orderkey")
+
+
+def a17_bucket_auto_price(spark, d):
+    return R.bucket_auto(_t(spark, d, "orders"), "o_totalprice", 7)
+
+
 def j8_band_join(spark, d):
     e = _t(spark, d, "events").select("event_id", "ts", "user_id")
     b = e.select(F.col("event_id").alias("second_id"), F.col("ts").alias("ts2"), F.col("user_id").alias("user_id"))
@@ -106,7 +114,7 @@ def g3_variable_paths(spark, d):
 
 def g3_graph_lookup(spark, d):
     e = _edges(spark, d)
-    return G.reachable(e.select("src").distinct(), e, 3)
+    return G.reachable(e.filter(F.col("src").isin(*STARTS)).select("src").distinct(), e, 3)
 
 
 def g4_shortest_path(spark, d):
@@ -115,9 +123,10 @@ def g4_shortest_path(spark, d):
 
 
 def g6_pattern_comprehension(spark, d):
-    e = _edges(spark, d)
-    lists = e.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ",").alias("friends"))
-    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src")).join(lists, "src", "left")
+    nodes = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"))
+    own = _edges(spark, d).join(nodes, "src", "left_semi")
+    lists = own.groupBy("src").agg(F.array_join(F.array_sort(F.collect_set(F.col("dst").cast("string"))), ",").alias("friends"))
+    return nodes.join(lists, "src", "left")
 
 
 def g7_triangles(spark, d):
@@ -217,6 +226,18 @@ def d6_detach_delete(spark, d):
     return left
 
 
+def d6_delete_limit(spark, d):
+    """DELETE of the rows that a subquery with ORDER BY and LIMIT names."""
+    gone = _c(spark, d).orderBy(F.desc("c_acctbal"), "c_custkey").limit(25).select("c_custkey")
+    return U.delete_using(_c(spark, d), gone, "c_custkey")
+
+
+def d6_delete_cte(spark, d):
+    """WITH idle AS (customers without orders in a status) DELETE ... USING idle."""
+    idle = _c(spark, d).select("c_custkey").join(_t(spark, d, "orders").filter("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return U.delete_using(_c(spark, d), idle, "c_custkey")
+
+
 def d7_returning(spark, d):
     return U.returning(_c(spark, d), F.col("c_acctbal") < 0, [F.col("c_custkey"), F.lit(0.0).alias("c_acctbal")])
 
@@ -234,6 +255,9 @@ ORACLE = {
     "a17_bucket_auto": "SELECT CAST(floor(b * 5 / t) AS INT) AS bucket, min(p_size) AS lo, max(p_size) AS hi, CAST(sum(c) AS BIGINT) AS n FROM (SELECT p_size, c, sum(c) OVER (ORDER BY p_size) - c AS b, sum(c) OVER () AS t FROM (SELECT p_size, count(*) AS c FROM part GROUP BY p_size)) GROUP BY 1",
     "a19_facet": "SELECT CAST((SELECT count(DISTINCT c_mktsegment) FROM customer) AS INT) AS segments, count(*) AS n, count(*) AS m FROM customer",
     "s4_densify": "WITH g AS (SELECT date_trunc('day', ts) AS ts, count(*) AS n FROM events WHERE hour(ts) = 3 AND event_type = 'error' GROUP BY 1) SELECT CAST(b.t AS TIMESTAMP) AS ts, g.n FROM (SELECT unnest(generate_series((SELECT min(ts) FROM g), (SELECT max(ts) FROM g), INTERVAL 1 DAY)) AS t) b LEFT JOIN g ON g.ts = b.t",
+    "s5_sample": "SELECT c_custkey FROM customer ORDER BY c_custkey % 2147483648 * 1103515245 % 2147483648, c_custkey LIMIT 50",
+    "s5_sample_share": "SELECT o_orderkey FROM orders WHERE o_orderkey % 2147483648 * 1103515245 % 2147483648 < 214748364",
+    "a17_bucket_auto_price": "SELECT CAST(floor(b * 7 / t) AS INT) AS bucket, min(o_totalprice) AS lo, max(o_totalprice) AS hi, CAST(sum(c) AS BIGINT) AS n FROM (SELECT o_totalprice, c, sum(c) OVER (ORDER BY o_totalprice) - c AS b, sum(c) OVER () AS t FROM (SELECT o_totalprice, count(*) AS c FROM orders GROUP BY o_totalprice)) GROUP BY 1",
     "j8_band_join": "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR",
     "j8_as_of": "SELECT c.event_id, p.value AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND c.ts >= p.ts",
     "g1_one_hop": f"SELECT src, count(*) AS n FROM {_E} GROUP BY src",
@@ -241,7 +265,7 @@ ORACLE = {
     "g3_variable_paths": f"""WITH RECURSIVE p AS (SELECT src, dst, [id] AS path FROM {_E} WHERE src IN {_S} UNION ALL
         SELECT p.src, e.dst, list_append(p.path, e.id) FROM p JOIN {_E} e ON p.dst = e.src WHERE len(p.path) < 3 AND NOT list_contains(p.path, e.id))
         SELECT src, dst, count(*) AS n FROM p GROUP BY 1, 2""",
-    "g3_graph_lookup": f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_E}), p AS (SELECT DISTINCT src, src AS dst, 0 AS depth FROM e UNION
+    "g3_graph_lookup": f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_E}), p AS (SELECT DISTINCT src, src AS dst, 0 AS depth FROM e WHERE src IN {_S} UNION
         SELECT p.src, e.dst, p.depth + 1 FROM p JOIN e ON p.dst = e.src WHERE p.depth < 3) SELECT src, dst, min(depth) AS depth FROM p GROUP BY 1, 2""",
     "g4_shortest_path": f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_E}), p AS (SELECT DISTINCT src, src AS dst, [src] AS nodes FROM e WHERE src IN {_S} UNION
         SELECT p.src, e.dst, list_append(p.nodes, e.dst) FROM p JOIN e ON p.dst = e.src WHERE len(p.nodes) <= 3),
@@ -264,6 +288,8 @@ ORACLE = {
     "d6_delete": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE NOT c_acctbal < 0",
     "d6_delete_using": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "d6_detach_delete": f"SELECT id, src, dst FROM {_E} WHERE src NOT IN (SELECT src FROM {_E} WHERE src IN {_S}) AND dst NOT IN (SELECT src FROM {_E} WHERE src IN {_S})",
+    "d6_delete_limit": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25)",
+    "d6_delete_cte": "WITH idle AS (SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM idle)",
     "d7_returning": "SELECT c_custkey, CAST(0.0 AS DOUBLE) AS c_acctbal FROM customer WHERE c_acctbal < 0",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLE, "s5_sample")}
+QUERIES = {name: globals()[name] for name in ORACLE}

@@ -58,7 +58,9 @@ def pending(spark: SparkSession, ids: DataFrame, path: str) -> DataFrame:
     """The ids not yet in the log at ``path``; all, if there is no log."""
     try:
         done = spark.read.schema(LOG).parquet(path).select("id")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return ids
     return ids.join(done, "id", "left_anti")
 
