@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold, so that a batch of very long texts stays small.
-ARROW_ROWS = 256
+#: Rows and bytes an Arrow batch may hold (one row at least), so that a batch of very long texts stays small.
+ARROW_ROWS, ARROW_BYTES = 256, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +56,14 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to ARROW_ROWS rows: texts have no length limit. A smaller setting stays."""
+    """Hold the session's Arrow batches to ARROW_ROWS rows and ARROW_BYTES: texts have no length limit. Smaller settings stay."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def utf8(column: str):

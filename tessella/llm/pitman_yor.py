@@ -3,7 +3,7 @@
 Three levels: a uniform base over the vocabulary and one unknown word, a word restaurant, and a restaurant for each
 context, the word before (the end token before a text's first), all of which share the word restaurant as their parent.
 Contexts are told apart by a hash whose width grows with the bytes of text (``context_bits``): about one word in ten shares
-its restaurant with another until there are 2^22 restaurants, the bound of what a sweep's sums may take; beyond, more do.
+its restaurant with another until there are 2^21 restaurants, the bound of what a sweep's sums may take; beyond, more do.
 The customers of a context restaurant are the training tokens; each table there sends one customer to the parent.
 A sweep seats the customers of every dish anew, one after the other, by the Chinese-restaurant probabilities given
 the parent's predictive probability and the restaurant's tables before the sweep, then seats the parent's. After a burn-in
@@ -14,7 +14,7 @@ tables is one binomial draw; all others are seated singly.
 Data flow: documents become blocks; a block's tokens are summed to (word, context, document, count) and dealt
 by word range into parts, whose number follows from the bytes of text. A part holds all of a word's dishes and is written
 once; each pass reads the parts without another shuffle. Passes exchange only sums: each context's customers and tables and
-the parent's, at most 2^22 numbers each, exact after the counting, the burn-in and the samples. Random numbers are hashes
+the parent's, at most 2^21 numbers each (8 MB), exact after the counting, the burn-in and the samples. Random numbers are hashes
 of word, context, sweep and customer, so the model is one model however the rows and parts lie. Words frequent in a block
 send only their counts to their part; it sends back one probability per context, which the block's entries are joined with,
 so no part holds a hot word's tokens.
@@ -43,7 +43,7 @@ LOWER, UPPER = (0.8, 1.0), (0.6, 1.0)
 SINGLE = 128
 BLOCK_BYTES, BLOCK_DOCS = 3_000_000, 32_000
 #: Bytes of text whose tokens make a part, and slices in which the sums are added up.
-PART_BYTES, SLICES = 8_000_000, 64
+PART_BYTES, SLICES = 3_000_000, 64
 #: A word with this share of a block's tokens is frequent there.
 HOT = 0.004
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -64,8 +64,8 @@ def hashes(words: list[bytes]) -> list[int]:
 
 
 def context_bits(size: int) -> int:
-    """Width of the contexts' hash for so many bytes of text: a restaurant for each KB, 2^16 at least and 2^22 at most."""
-    return min(22, max(16, (size >> 10).bit_length()))
+    """Width of the contexts' hash for so many bytes of text: a restaurant for each KB, 2^16 at least and 2^21 at most."""
+    return min(21, max(16, (size >> 10).bit_length()))
 
 
 def uniform(key: np.ndarray, k: int) -> np.ndarray:
@@ -124,9 +124,8 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, key: np.nda
 class Sums:
     """What the parts' sums are in all: words, tokens, each context's customers; and after a sweep its tables and the parent's."""
 
-    def __init__(self, words: float, customers: np.ndarray, sweeps: list[tuple[np.ndarray, float, float]]):
-        self.words, self.customers, self.sweeps = words, customers, sweeps
-        self.tokens = float(customers.sum())
+    def __init__(self, words: float, tokens: float, customers: np.ndarray, sweeps: list[tuple[np.ndarray, float, float]]):
+        self.words, self.tokens, self.customers, self.sweeps = words, tokens, customers, sweeps
 
     def parent(self, sweep: int, up: np.ndarray, top: np.ndarray) -> np.ndarray:
         """The word restaurant's probability of words with so many customers and tables there."""
@@ -139,8 +138,8 @@ class Sums:
         d, a = LOWER
         found = 0.0
         for s in range(SAMPLES):
-            every = self.sweeps[s + 2][0][context]
-            found = found + (customers - d * tables[s] + (a + d * every) * self.parent(s + 2, up[s], top[s])) / (a + self.customers[context])
+            every = self.sweeps[s + 2][0][context].astype(np.float64)
+            found = found + (customers - d * tables[s] + (a + d * every) * self.parent(s + 2, up[s], top[s])) / (a + self.customers[context].astype(np.float64))
         return np.log10(found / SAMPLES)
 
 
@@ -170,7 +169,7 @@ class Part:
                 tables, _, roots = sums.sweeps[before]
                 turn = np.uint64(sweep * 0xA0761D6478BD642F & 2**64 - 1)
                 t = np.minimum(self.c, 1).astype(np.float64)
-                t[many] = seat(c, (a + d * tables[pb]) * sums.parent(before, up, top)[pw], d, own ^ turn)
+                t[many] = seat(c, (a + d * tables[pb].astype(np.float64)) * sums.parent(before, up, top)[pw], d, own ^ turn)
                 up = np.bincount(self.pw, t, len(self.words))
                 top = seat(up, np.full(len(self.words), (a0 + d0 * roots) / (sums.words + 1)), d0, self.words ^ turn)
                 yield t, up, top
@@ -188,6 +187,21 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _pack_planes(*arrays: np.ndarray) -> bytes:
+    """As ``_pack``, each array with its lowest bytes first, then the next: high bytes are mostly zeros and compress away."""
+    flat = [np.ascontiguousarray(x).view("u1").reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
+    return np.array([len(x) for x in arrays], dtype="<u4").tobytes() + b"".join(flat)
+
+
+def _unpack_planes(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(blob, "<u4", len(kinds)), 4 * len(kinds), []
+    for n, k in zip(sizes.tolist(), kinds, strict=True):
+        width = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(blob, "u1", n * width, at).reshape(width, n).T).view(k).reshape(n))
+        at += n * width
+    return out
+
+
 _ENTRY = ("<u8", "<u4", "<u4", "<u2", "<u2", "<u4")
 
 
@@ -233,14 +247,14 @@ def _block(number: int, docs: list[tuple], parts: int, bits: int) -> list[tuple]
         if len(cold):
             keep = np.repeat(~hot[lo:hi], entries[lo:hi])
             e = slice(stop[lo] - entries[lo], stop[hi - 1])
-            rows.append((1, p, 0, number, _pack(words[cold], entries[cold].astype("<u4"), eb[e][keep].astype("<u4"), ed[e][keep].astype("<u2"), n[e][keep].astype("<u2"), np.array([train], dtype="<u4"))))
+            rows.append((1, p, 0, number, _pack_planes(words[cold], entries[cold].astype("<u4"), eb[e][keep].astype("<u4"), ed[e][keep].astype("<u2"), n[e][keep].astype("<u2"), np.array([train], dtype="<u4"))))
     for k in np.flatnonzero(hot).tolist():
         e = slice(stop[k] - entries[k], stop[k])
         own, place = np.unique(eb[e], return_inverse=True)
         learned = np.bincount(place, n[e] * (ed[e] < train), len(own))
         signed = int(words[k].astype(np.int64))
-        rows.append((2, int(part[k]), signed, number, _pack(own.astype("<u4"), learned.astype("<u4"))))
-        rows.append((3, number % parts, signed, number, _pack(place.astype("<u4"), ed[e].astype("<u2"), n[e].astype("<u2"))))
+        rows.append((2, int(part[k]), signed, number, _pack_planes(own.astype("<u4"), learned.astype("<u4"))))
+        rows.append((3, number % parts, signed, number, _pack_planes(place.astype("<u4"), ed[e].astype("<u2"), n[e].astype("<u2"))))
     return rows
 
 
@@ -273,14 +287,14 @@ def blocks(docs: DataFrame, held_out, parts: int, bits: int, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long"), held_out, utf8(text_col)).mapInArrow(run, schema)
 
 
-#: A part as written: words; each pair's word, context, customers; blocks, their entries; each entry's pair, document, count; hot (block, word), contexts; each one's pair.
-_PART = ("<u8", "<u4", "<u4", "<u8", "<i8", "<u4", "<u4", "<u2", "<u2", "<i8", "<i8", "<u4", "<u4")
+#: A part as written: words; each pair's word (by steps), context, customers; blocks, their entries; each entry's pair (by steps), document, count; hot (block, word), contexts; each one's pair.
+_PART = ("<u8", "<u4", "<u4", "<u8", "<i8", "<u4", "<i4", "<u2", "<u2", "<i8", "<i8", "<u4", "<u4")
 
 
 def _merged(pdf: pd.DataFrame) -> bytes | None:
     """All of a part's rows as one blob."""
-    cold = [(r.block, *_unpack(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].sort_values("block").itertuples()]
-    hot = [(r.block, r.word, *_unpack(r.blob, "<u4", "<u4")) for r in pdf[pdf.kind == 2].sort_values(["block", "word"]).itertuples()]
+    cold = [(r.block, *_unpack_planes(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].sort_values("block").itertuples()]
+    hot = [(r.block, r.word, *_unpack_planes(r.blob, "<u4", "<u4")) for r in pdf[pdf.kind == 2].sort_values(["block", "word"]).itertuples()]
     if not cold and not hot:
         return None
     join = lambda kind, xs: np.concatenate([np.zeros(0, kind), *xs])
@@ -293,20 +307,20 @@ def _merged(pdf: pd.DataFrame) -> bytes | None:
     learned = join(np.float64, [x[5] * (x[4] < x[6][0]) for x in cold] + [x[3] for x in hot])
     customers = np.bincount(of, learned, len(pairs))
     many = sum(len(x[3]) for x in cold)
-    return _pack(
-        words, (pairs >> 22).astype("<u4"), (pairs & (1 << 22) - 1).astype("<u4"), customers.astype("<u8"),
-        np.array([x[0] for x in cold], dtype="<i8"), np.array([len(x[3]) for x in cold], dtype="<u4"), of[:many].astype("<u4"), join("<u2", [x[4] for x in cold]), join("<u2", [x[5] for x in cold]),
+    return _pack_planes(
+        words, np.diff(pairs >> 22, prepend=0).astype("<u4"), (pairs & (1 << 22) - 1).astype("<u4"), customers.astype("<u8"),
+        np.array([x[0] for x in cold], dtype="<i8"), np.array([len(x[3]) for x in cold], dtype="<u4"), np.diff(of[:many], prepend=0).astype("<i4"), join("<u2", [x[4] for x in cold]), join("<u2", [x[5] for x in cold]),
         np.array([x[0] for x in hot], dtype="<i8"), np.array([x[1] for x in hot], dtype="<i8"), np.array([len(x[2]) for x in hot], dtype="<u4"), of[many:].astype("<u4"),
     )
 
 
 def _opened(blob: bytes) -> tuple[Part, list[np.ndarray]]:
-    words, pw, pb, c, *rest = _unpack(blob, *_PART)
-    return Part(words, pw.astype(np.int64), pb.astype(np.int64), c.astype(np.float64)), rest
+    words, pw, pb, c, blocks, sizes, pair, *rest = _unpack_planes(blob, *_PART)
+    return Part(words, np.cumsum(pw, dtype=np.int64), pb.astype(np.int64), c.astype(np.float64)), [blocks, sizes, np.cumsum(pair, dtype=np.int64), *rest]
 
 
-def _added(parts: DataFrame, bits: int, values) -> list[np.ndarray]:
-    """Sums over all parts of ``values(part)``: (per-pair weights, a number) each; contexts' sums, then the numbers.
+def _added(parts: DataFrame, bits: int, values) -> list[tuple[np.ndarray, float, float]]:
+    """Sums over all parts of ``values(part)``, (weights of the pairs, a number, a number) each: by context, and of the numbers.
 
     A task adds its parts up and passes on one row per slice of the contexts; the driver gets 2^bits numbers for each value.
     """
@@ -317,13 +331,12 @@ def _added(parts: DataFrame, bits: int, values) -> list[np.ndarray]:
         for pdf in frames:
             for blob in pdf.blob:
                 part, _ = _opened(blob)
-                for j, (weights, number) in enumerate(values(part)):
+                for j, (weights, *numbers) in enumerate(values(part)):
                     if len(total) <= j:
-                        total.append(np.zeros((1 << bits) + 1))
-                    if weights is not None:
-                        total[j][:-1] += np.bincount(part.pb, weights, 1 << bits)
-                    total[j][-1] += number
-        rows = [(j, i, x[i * width : (i + 1) * width + (i == SLICES - 1)].tobytes()) for j, x in enumerate(total) for i in range(SLICES)]
+                        total.append(np.zeros((1 << bits) + 2))
+                    total[j][:-2] += np.bincount(part.pb, weights, 1 << bits)
+                    total[j][-2:] += numbers
+        rows = [(j, i, x[i * width : (i + 1) * width + 2 * (i == SLICES - 1)].tobytes()) for j, x in enumerate(total) for i in range(SLICES)]
         yield pd.DataFrame(rows, columns=["value", "slice", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -334,32 +347,32 @@ def _added(parts: DataFrame, bits: int, values) -> list[np.ndarray]:
     out: dict[int, list] = {}
     for r in sorted(found, key=lambda r: (r.value, r.slice)):
         out.setdefault(r.value, []).append(np.frombuffer(r.sums))
-    return [np.concatenate(x) for _, x in sorted(out.items())]
+    joined = [np.concatenate(x) for _, x in sorted(out.items())]
+    return [(x[:-2].astype(np.float32), float(x[-2]), float(x[-1])) for x in joined]
 
 
 def fitted(parts: DataFrame, bits: int) -> Sums:
     """The sums of the counts, of the burn-in sweep and of the samples, each exact before the next begins."""
 
     def counts(part: Part):
-        _, up, top = next(part.sweeps(None, 0))
-        yield part.c, float((part.count > 0).sum())
-        yield np.minimum(part.c, 1), float(up.sum())
+        _, up, _ = next(part.sweeps(None, 0))
+        yield part.c, float((part.count > 0).sum()), float(part.c.sum())
+        yield np.minimum(part.c, 1), float(up.sum()), float((part.count > 0).sum())
 
     def swept(sums: Sums, first: int, upto: int):
         def values(part: Part):
             for sweep, (t, up, top) in enumerate(part.sweeps(sums, upto)):
                 if sweep >= first:
-                    yield t, float(up.sum())
-                    yield None, float(top.sum())
+                    yield t, float(up.sum()), float(top.sum())
 
-        got = _added(parts, bits, values)
-        return [(t[:-1], float(t[-1]), float(n[-1])) for t, n in zip(got[::2], got[1::2], strict=True)]
+        return _added(parts, bits, values)
 
     got = _added(parts, bits, counts)
     if not got:
-        none = np.zeros(1 << bits)
-        return Sums(0.0, none, [(none, 0.0, 0.0)] * (SAMPLES + 2))
-    sums = Sums(float(got[0][-1]), got[0][:-1], [(got[1][:-1], float(got[1][-1]), float(got[0][-1]))])
+        none = np.zeros(1 << bits, dtype=np.float32)
+        return Sums(0.0, 0.0, none, [(none, 0.0, 0.0)] * (SAMPLES + 2))
+    (customers, words, tokens), start = got
+    sums = Sums(words, tokens, customers, [start])
     sums.sweeps += swept(sums, 1, 1)
     sums.sweeps += swept(sums, 2, SAMPLES + 1)
     return sums
@@ -417,7 +430,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                place, doc, n = _unpack(r.blob, "<u4", "<u2", "<u2")
+                place, doc, n = _unpack_planes(r.blob, "<u4", "<u2", "<u2")
                 model, base, known = _unpack(r.pairs, "<f8", "<f8", "u1")
                 out.append(_per_doc(r.block, doc, n * model[place], n * base[0], n * known[0].astype(np.int64)))
             yield pd.DataFrame(out, columns=_SUM_COLUMNS)

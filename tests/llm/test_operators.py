@@ -629,7 +629,7 @@ def test_pitman_yor_adds_up_to_one():
     part = pitman_yor.Part(np.arange(50, dtype=np.uint64), pw, pb, rng.integers(0, 9, 200).astype(float))
     context = lambda x: np.bincount(pb, x, 4)
     t, up, top = next(part.sweeps(None, 0))
-    sums = pitman_yor.Sums(float((part.count > 0).sum()), context(part.c), [(context(t), up.sum(), top.sum())])
+    sums = pitman_yor.Sums(float((part.count > 0).sum()), part.c.sum(), context(part.c), [(context(t), up.sum(), top.sum())])
     for first in (1, 2):
         every = list(part.sweeps(sums, 1 if first == 1 else pitman_yor.SAMPLES + 1))
         sums.sweeps += [(context(t), up.sum(), top.sum()) for t, up, top in every[first:]]
