@@ -476,12 +476,12 @@ def test_each_seed_is_matched_to_the_first_it_shares_most_with():
     rng = np.random.default_rng(43)
     for _ in range(30):
         seed, doc = rng.integers(0, 4, 40).astype(np.uint64), rng.integers(0, 9, 40)
-        key = sum(rng.integers(0, 3, 40).astype(np.uint64) << np.uint64(16 * j) for j in range(4))
+        key = sum(rng.integers(0, 3, 40).astype(np.uint32) << np.uint32(8 * j) for j in range(3))
         got = chaining.earlier(seed, key, doc)
         for i in range(40):
             want = -1
-            for level in range(4, -1, -1):
-                same = [j for j in range(40) if seed[j] == seed[i] and int(key[j]) >> 16 * (4 - level) == int(key[i]) >> 16 * (4 - level)]
+            for level in range(3, -1, -1):
+                same = [j for j in range(40) if seed[j] == seed[i] and int(key[j]) >> 8 * (3 - level) == int(key[i]) >> 8 * (3 - level)]
                 if doc[same[0]] != doc[i]:
                     want = same[0]
                     break
