@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.sources import stores
+
 from .catalogue import run_sql
 
 VIEWS = {
@@ -45,6 +47,11 @@ class Shop:
             raise AttributeError(name)
         return run_sql(self.spark, self.sf_dir, VIEWS[name])
 
+    def store(self, path: str) -> None:
+        """Bulk load of every relation into a store."""
+        for name in VIEWS:
+            stores.load(getattr(self, name), path, name)
+
     def done(self) -> DataFrame:
         return self.purchase.filter(F.col("status").isin(*DONE))
 
@@ -54,6 +61,15 @@ class Shop:
         return recent.join(self.item, "order_id").join(self.product.select("product_id", "seller_id", "title"), "product_id")
 
 
+class StoredShop(Shop):
+    """The relations as ``store`` wrote them."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in VIEWS:
+            raise AttributeError(name)
+        return stores.table(self.spark, self.sf_dir, name)
+
+
 def _total(name: str, alias: str):
     return F.sum(name).alias(alias)
 

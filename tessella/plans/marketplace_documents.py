@@ -1,8 +1,9 @@
 """The marketplace workload over documents: orders with their buyer and items, products with seller, categories and
 reviews, persons with interests and follows. Results equal the relational forms', so one oracle serves all.
 
-A collection is built with the embedded parts that a query names; a stored one (``store``, ``Documents.stored``)
-leaves that to the scan's column pruning. Where a fact lies inside one document, array functions find it without a
+``store`` writes the collections with all their parts; the registered queries read such a store, which the first of a
+session loads, and leave the choice of parts to the scan's column pruning. ``Documents`` builds a collection on the way
+with the parts that a query names. Where a fact lies inside one document, array functions find it without a
 shuffle; orders are counted before their items are unwound.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.documents import embed_many, embed_one, unwind
+from tessella.sources import stores
 
 from . import marketplace as M
 from .marketplace import CATEGORIES, COUNTRIES, DONE, N, PAGE, PERSON, PERSONS, PRODUCTS, SELLERS, SHOWN, SINCE, TOP, Shop, _mean, _total
@@ -54,13 +56,18 @@ class Stored(Documents):
         self.spark, self.path = spark, path.rstrip("/")
 
     def get(self, collection: str, *parts: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{collection}")
+        return stores.table(self.spark, self.path, collection)
 
 
 def store(documents: Documents, path: str) -> None:
     """Write every collection with all of its parts."""
     for collection, parts in PARTS.items():
-        documents.get(collection, *parts).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{collection}")
+        stores.load(documents.get(collection, *parts), path, collection)
+
+
+def kept(spark, sf_dir: str) -> Stored:
+    """The session's stored collections over a folder of tables."""
+    return Stored(spark, stores.once(spark, sf_dir, "documents", lambda path: store(Documents(Shop(spark, sf_dir)), path)))
 
 
 def _summed(array, field: str) -> Column:
@@ -237,7 +244,7 @@ def query(f):
 
 
 def queries() -> dict:
-    return {f"{M._name(k, f)}_doc": (lambda spark, sf_dir, q=query(f): q(Documents(Shop(spark, sf_dir)))) for k, f in enumerate(M.WORKLOAD)}
+    return {f"{M._name(k, f)}_doc": (lambda spark, sf_dir, q=query(f): q(kept(spark, sf_dir))) for k, f in enumerate(M.WORKLOAD)}
 
 
 def oracle_sql() -> dict[str, str]:

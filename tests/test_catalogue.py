@@ -1,9 +1,12 @@
 """Each catalogue query against its oracle SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
 from tessella.plans import catalogue, evaluation, inspection, layouts, marketplace, marketplace_documents, marketplace_graph
+from tessella.sources import stores
 
 DIR = "/root/testdata/sf0.001"
 ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | marketplace_documents.oracle_sql() | marketplace_graph.oracle_sql() | evaluation.ORACLE | inspection.ORACLE
@@ -41,9 +44,45 @@ def test_sample_is_exact_and_repeatable(spark):
     assert len(a) == 50 and a == {r[0] for r in layouts.s5_sample(spark, DIR).collect()}
 
 
-def test_stored_collections_answer_the_same(spark, tmp_path):
-    made = marketplace_documents.Documents(marketplace.Shop(spark, DIR))
-    marketplace_documents.store(made, str(tmp_path))
-    kept = marketplace_documents.Stored(spark, str(tmp_path))
+def test_stores_answer_as_the_layouts_they_hold(spark, tmp_path):
+    shop, path = marketplace.Shop(spark, DIR), f"file://{tmp_path}"
+    made, graph = marketplace_documents.Documents(shop), marketplace_graph.Graph(shop)
+    for name, fill in (("relations", shop.store), ("documents", lambda p: marketplace_documents.store(made, p)), ("graph", lambda p: marketplace_graph.store(graph, p))):
+        fill(stores.create(spark, f"{path}/{name}"))
+        with pytest.raises(FileExistsError):
+            stores.create(spark, f"{path}/{name}")
+    kept = marketplace_documents.Stored(spark, f"{path}/documents")
     for f in (marketplace_documents.many_sellers, marketplace_documents.product_page, marketplace_documents.feed):
         assert sorted(f(kept).collect()) == sorted(f(made).collect())
+    for f in (marketplace_graph.who_to_follow, marketplace_graph.also_bought):
+        assert sorted(f(marketplace_graph.Stored(spark, f"{path}/graph")).collect()) == sorted(f(graph).collect())
+    assert sorted(marketplace.many_sellers(marketplace.StoredShop(spark, f"{path}/relations")).collect()) == sorted(marketplace.many_sellers(shop).collect())
+
+
+def test_reset_deletes_stores_only(spark, tmp_path):
+    path = stores.create(spark, f"file://{tmp_path}/one")
+    stores.load(spark.range(10), path, "t", "id")
+    assert stores.exists(spark, path) and stores.table(spark, path, "t").count() == 10
+    assert stores.reset(spark, path) and not stores.exists(spark, path) and not stores.reset(spark, path)
+    (tmp_path / "other").mkdir()
+    with pytest.raises(ValueError):
+        stores.reset(spark, f"file://{tmp_path}/other")
+    assert (tmp_path / "other").exists()
+
+
+def joins_over_tables(plan: str) -> list[str]:
+    """Nested-loop joins and cartesian products of a plan."""
+    return re.findall(r"BroadcastNestedLoopJoin|CartesianProduct", plan)
+
+
+@pytest.mark.parametrize("name", ["j8_as_of", "a17_bucket_auto", "a17_bucket_auto_price", "g4_shortest_path", "q3_materialized", "j8_band_join", "d2_insert_select"])
+def test_plans_have_no_nested_loops_but_on_one_row(spark, name):
+    df = QUERIES[name](spark, DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    one_row = plan.count("BroadcastNestedLoopJoin BuildRight, Cross")
+    assert len(joins_over_tables(plan)) <= one_row
+
+
+def test_quantified_comparison_reads_one_row_of_the_subquery(spark):
+    plan = QUERIES["f9_quantified"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Exists" not in plan and "LeftAnti" not in plan and "Aggregate [max(" in plan
