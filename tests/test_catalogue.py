@@ -5,12 +5,12 @@ import re
 import duckdb
 import pytest
 
-from tessella.plans import catalogue, evaluation, inspection, layouts, marketplace, marketplace_documents, marketplace_graph
+from tessella.plans import catalogue, evaluation, families, inspection, layouts, marketplace, marketplace_documents, marketplace_graph
 from tessella.sources import stores
 
 DIR = "/root/testdata/sf0.001"
-ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | marketplace_documents.oracle_sql() | marketplace_graph.oracle_sql() | evaluation.ORACLE | inspection.ORACLE
-QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries() | marketplace_documents.queries() | marketplace_graph.queries() | evaluation.QUERIES | inspection.QUERIES
+ORACLE = catalogue.oracle_sql() | layouts.ORACLE | marketplace.oracle_sql() | marketplace_documents.oracle_sql() | marketplace_graph.oracle_sql() | evaluation.ORACLE | inspection.ORACLE | families.oracle_sql()
+QUERIES = catalogue.queries() | layouts.QUERIES | marketplace.queries() | marketplace_documents.queries() | marketplace_graph.queries() | evaluation.QUERIES | inspection.QUERIES | families.queries()
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +86,25 @@ def test_plans_have_no_nested_loops_but_on_one_row(spark, name):
 def test_quantified_comparison_reads_one_row_of_the_subquery(spark):
     plan = QUERIES["f9_quantified"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "Exists" not in plan and "LeftAnti" not in plan and "Aggregate [max(" in plan
+
+
+def test_families_are_generated_with_their_parameters():
+    own = families.shown()
+    assert len(own) == families.SHOWN * len({x.template.name for x in own}) and len({x.content for x in own}) > 0.9 * len(own)
+    assert all("{{" in families.REGISTRY.raw(x.template.name) for x in own)
+    assert [x.content for x in own] == [x.content for x in families.shown()]
+    assert len(families.REGISTRY.templates) == len(own) // families.SHOWN + len(marketplace.WORKLOAD)
+
+
+def test_marketplace_instances_agree_in_all_layouts(spark):
+    shop = marketplace.Shop(spark, DIR)
+    docs, graph = marketplace_documents.kept(spark, DIR), marketplace_graph.kept(spark, DIR)
+    some = [x for x in families.market() if x.content[1]]
+    assert len(some) > 20
+    for x in some[::3]:
+        name, values = x.content
+        f = getattr(marketplace, name)
+        want = sorted(map(repr, (tuple(map(plain, r)) for r in f(shop, **values).collect())))
+        for forms, layout in ((marketplace_documents, docs), (marketplace_graph, graph)):
+            df = forms.query(f)(layout, **values)
+            assert sorted(map(repr, (tuple(map(plain, r)) for r in df.select(*f(shop, **values).columns).collect()))) == want, (x.id, forms.__name__)
