@@ -16,8 +16,8 @@ by word range into parts, whose number follows from the bytes of text. A part ho
 once; each pass reads the parts without another shuffle. Passes exchange only sums: each context's customers and tables and
 the parent's, at most 2^21 numbers each (8 MB), exact after the counting, the burn-in and the samples. Random numbers are hashes
 of word, context, sweep and customer, so the model is one model however the rows and parts lie. Words frequent in a block
-send only their counts to their part; it sends back one probability per context, which the block's entries are joined with,
-so no part holds a hot word's tokens.
+send only their counts to their part; it sends back one probability per context for the block's entries, so no part holds a
+hot word's tokens.
 
 Defined results: a null or empty text is the end token alone; a null id counts as not held out; repeated rows
 are learned from and scored each; with nothing to learn from every token is the unknown word; an empty table
@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +65,8 @@ def hashes(words: list[bytes]) -> list[int]:
 
 
 def context_bits(size: int) -> int:
-    """Width of the contexts' hash for so many bytes of text: a restaurant for each KB, 2^16 at least and 2^21 at most."""
-    return min(21, max(16, (size >> 10).bit_length()))
+    """Width of the contexts' hash for so many bytes of text: a restaurant for two KB, 2^16 at least and 2^21 at most."""
+    return min(21, max(16, (size >> 11).bit_length()))
 
 
 def uniform(key: np.ndarray, k: int) -> np.ndarray:
@@ -175,29 +176,19 @@ class Part:
                 yield t, up, top
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(x) for x in arrays], dtype="<u4").tobytes() + b"".join(x.tobytes() for x in arrays)
-
-
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(blob, "<u4", len(kinds)), 4 * len(kinds), []
-    for n, k in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(blob, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
 def _pack_planes(*arrays: np.ndarray) -> bytes:
-    """As ``_pack``, each array with its lowest bytes first, then the next: high bytes are mostly zeros and compress away."""
+    """Arrays as one blob, each with its lowest bytes first, then the next, and compressed: high bytes are mostly alike."""
     flat = [np.ascontiguousarray(x).view("u1").reshape(len(x), x.itemsize).T.tobytes() for x in arrays]
-    return np.array([len(x) for x in arrays], dtype="<u4").tobytes() + b"".join(flat)
+    return np.array([len(x) for x in arrays], dtype="<u4").tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(flat))
 
 
 def _unpack_planes(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(blob, "<u4", len(kinds)), 4 * len(kinds), []
+    head = 4 * len(kinds)
+    sizes, at, out = np.frombuffer(blob, "<u4", len(kinds)), 0, []
+    flat = zstandard.ZstdDecompressor().decompress(memoryview(blob)[head:])
     for n, k in zip(sizes.tolist(), kinds, strict=True):
         width = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(blob, "u1", n * width, at).reshape(width, n).T).view(k).reshape(n))
+        out.append(np.ascontiguousarray(np.frombuffer(flat, "u1", n * width, at).reshape(width, n).T).view(k).reshape(n))
         at += n * width
     return out
 
@@ -236,7 +227,7 @@ def _block(number: int, docs: list[tuple], parts: int, bits: int) -> list[tuple]
     ew, eb, ed = key >> 37, (key >> 15) & (1 << 22) - 1, key & 32767
     hot = np.bincount(at, minlength=len(words)) > max(64, HOT * len(w))
     ids = pa.array([i for i, _, _ in docs], pa.int64())
-    meta = _pack(np.array(ids.fill_null(0), dtype="<i8"), np.array(ids.is_null(), dtype="u1"), np.array([h for _, h, _ in docs], dtype="u1"), tokens.astype("<u4"))
+    meta = _pack_planes(np.array(ids.fill_null(0), dtype="<i8"), np.array(ids.is_null(), dtype="u1"), np.array([h for _, h, _ in docs], dtype="u1"), tokens.astype("<u4"))
     rows = [(0, number % parts, 0, number, meta)]
     entries = np.bincount(ew, minlength=len(words))
     stop = np.cumsum(entries)
@@ -336,17 +327,17 @@ def _added(parts: DataFrame, bits: int, values) -> list[tuple[np.ndarray, float,
                         total.append(np.zeros((1 << bits) + 2))
                     total[j][:-2] += np.bincount(part.pb, weights, 1 << bits)
                     total[j][-2:] += numbers
-        rows = [(j, i, x[i * width : (i + 1) * width + 2 * (i == SLICES - 1)].tobytes()) for j, x in enumerate(total) for i in range(SLICES)]
+        rows = [(j, i, _pack_planes(x[i * width : (i + 1) * width + 2 * (i == SLICES - 1)].astype("<i8"))) for j, x in enumerate(total) for i in range(SLICES)]
         yield pd.DataFrame(rows, columns=["value", "slice", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[:1].assign(sums=[sum(np.frombuffer(x) for x in pdf.sums).tobytes()])
+        return pdf.iloc[:1].assign(sums=[_pack_planes(sum(_unpack_planes(x, "<i8")[0] for x in pdf.sums))])
 
     schema = "value int, slice int, sums binary"
     found = parts.select("blob").mapInPandas(task, schema).groupBy("value", "slice").applyInPandas(add, schema).collect()
     out: dict[int, list] = {}
     for r in sorted(found, key=lambda r: (r.value, r.slice)):
-        out.setdefault(r.value, []).append(np.frombuffer(r.sums))
+        out.setdefault(r.value, []).append(_unpack_planes(bytes(r.sums), "<i8")[0])
     joined = [np.concatenate(x) for _, x in sorted(out.items())]
     return [(x[:-2].astype(np.float32), float(x[-2]), float(x[-1])) for x in joined]
 
@@ -378,15 +369,16 @@ def fitted(parts: DataFrame, bits: int) -> Sums:
     return sums
 
 
-_SUM = "block long, docs binary, model binary, base binary, known binary"
-_SUM_COLUMNS = ["block", "docs", "model", "base", "known"]
+#: Logarithms are summed in whole multiples of this, so that no sum depends on the order.
+UNIT = 2.0**-32
+_SUM = "block long, hot boolean, word long, sums binary"
 
 
-def _per_doc(block: int, doc: np.ndarray, model: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple:
-    """A block's entries as a row of sums for each document that has some."""
+def _per_doc(doc: np.ndarray, model: np.ndarray, base: np.ndarray, known: np.ndarray) -> bytes:
+    """Entries as sums for each document that has some."""
     there = np.flatnonzero(np.bincount(doc))
-    add = lambda x: np.bincount(doc, x)[there]
-    return (int(block), there.astype("<u2").tobytes(), add(model).tobytes(), add(base).tobytes(), add(known).astype("<u4").tobytes())
+    add = lambda x: np.bincount(doc, x)[there].astype("<i8")
+    return _pack_planes(there.astype("<u2"), add(model), add(base), add(known))
 
 
 def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,45 +404,35 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
                 part, (at, sizes, pair, doc, n, hot_block, hot_word, hot_sizes, hot_pair) = _opened(blob)
                 kept = list(part.sweeps(sums, SAMPLES + 1))[2:]
                 model = sums.log10(part.pb, part.c, [t for t, _, _ in kept], [x[part.pw] for _, x, _ in kept], [x[part.pw] for _, _, x in kept])
-                base, known = np.log10(part.count + 1)[part.pw], (part.count > 0)[part.pw]
+                model, base = np.rint(model / UNIT), np.rint(np.log10(part.count + 1) / UNIT)[part.pw]
+                known = (part.count > 0)[part.pw]
                 stop = np.cumsum(sizes.astype(np.int64))
-                out = []
-                for block, lo, hi in zip(at.tolist(), (stop - sizes).tolist(), stop.tolist(), strict=True):
-                    p, m = pair[lo:hi], n[lo:hi]
-                    out.append((None, *_per_doc(block, doc[lo:hi], m * model[p], m * base[p], m * known[p]), None))
-                yield pd.DataFrame(out, columns=["word", *_SUM_COLUMNS, "pairs"])
+                cold = [_per_doc(doc[lo:hi], n[lo:hi] * model[p], n[lo:hi] * base[p], n[lo:hi] * known[p]) for lo, hi in zip((stop - sizes).tolist(), stop.tolist(), strict=True) for p in [pair[lo:hi]]]
                 stop = np.cumsum(hot_sizes.astype(np.int64))
-                for block, word, lo, hi in zip(hot_block.tolist(), hot_word.tolist(), (stop - hot_sizes).tolist(), stop.tolist(), strict=True):
-                    p = hot_pair[lo:hi]
-                    yield pd.DataFrame([(word, block, None, None, None, None, _pack(model[p], base[p[:1]], known[p[:1]].astype("u1")))], columns=["word", *_SUM_COLUMNS, "pairs"])
+                hot = [_pack_planes(model[p].astype("<i8"), base[p[:1]].astype("<i8"), known[p[:1]].astype("u1")) for lo, hi in zip((stop - hot_sizes).tolist(), stop.tolist(), strict=True) for p in [hot_pair[lo:hi]]]
+                yield pd.DataFrame({"block": np.concatenate([at, hot_block]), "hot": [False] * len(cold) + [True] * len(hot), "word": np.concatenate([np.zeros(len(cold), dtype=np.int64), hot_word]), "sums": cold + hot})
 
-    found = materialise(parts.select("blob").mapInPandas(scored, f"word long, {_SUM}, pairs binary"), "scores")
-
-    def hot_scored(frames):
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                place, doc, n = _unpack_planes(r.blob, "<u4", "<u2", "<u2")
-                model, base, known = _unpack(r.pairs, "<f8", "<f8", "u1")
-                out.append(_per_doc(r.block, doc, n * model[place], n * base[0], n * known[0].astype(np.int64)))
-            yield pd.DataFrame(out, columns=_SUM_COLUMNS)
-
-    hot = rows.filter("kind = 3").select("word", "block", "blob").join(found.filter("word IS NOT NULL").select("word", "block", "pairs"), ["word", "block"])
-    pieces = found.filter("word IS NULL").select(*_SUM_COLUMNS).union(hot.select("block", "blob", "pairs").mapInPandas(hot_scored, _SUM))
     offset, tokens = float(np.log10(sums.tokens + sums.words + 1)), int(sums.tokens)
 
-    def joined(key, pdf: pd.DataFrame, meta: pd.DataFrame) -> pd.DataFrame:
-        ids, null, held, n = _unpack(meta.blob.iloc[0], "<i8", "u1", "u1", "<u4")
-        model, base, known = (np.zeros(len(ids)) for _ in range(3))
-        for r in pdf.itertuples():
-            at = np.frombuffer(r.docs, "<u2")
-            model[at] += np.frombuffer(r.model)
-            base[at] += np.frombuffer(r.base)
-            known[at] += np.frombuffer(r.known, "<u4")
-        return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": tokens, "base_score": base - n * offset, "score": model}).assign(doc_id=lambda x: x.doc_id.mask(null.astype(bool)))
+    def joined(key, found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        ids, null, held, n = _unpack_planes(own.blob[own.kind == 0].iloc[0], "<i8", "u1", "u1", "<u4")
+        total = np.zeros((3, len(ids)), dtype=np.int64)
+        for blob in found.sums[~found.hot]:
+            at, *values = _unpack_planes(blob, "<u2", "<i8", "<i8", "<i8")
+            total[:, at] += np.stack(values)
+        states = dict(zip(found.word[found.hot].tolist(), found.sums[found.hot], strict=True))
+        for r in own[own.kind == 3].itertuples():
+            place, doc, m = _unpack_planes(r.blob, "<u4", "<u2", "<u2")
+            model, base, known = _unpack_planes(states[r.word], "<i8", "<i8", "u1")
+            m = m.astype(np.int64)
+            for row, x in zip(total, (m * model[place], m * base[0], m * int(known[0])), strict=True):
+                np.add.at(row, doc, x)
+        out = pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "held_out": held.astype(bool), "n_tokens": n.astype(np.int64), "n_known": total[2], "train_tokens": tokens, "base_score": total[1] * UNIT - n * offset, "score": total[0] * UNIT})
+        return out.assign(doc_id=out.doc_id.mask(null.astype(bool)))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return pieces.groupBy("block").cogroup(rows.filter("kind = 0").select("block", "blob").groupBy("block")).applyInPandas(joined, schema)
+    found = parts.select("blob").mapInPandas(scored, _SUM)
+    return found.groupBy("block").cogroup(rows.filter("kind <> 1").select("kind", "word", "block", "blob").groupBy("block")).applyInPandas(joined, schema)
 
 
 def op10_pitman_yor(spark, sf_dir: str) -> DataFrame:
