@@ -53,7 +53,7 @@ _known: dict[bytes, int] = {}
 
 def hashes(words: list[bytes]) -> list[int]:
     """64-bit numbers of words, the same in every process."""
-    if len(_known) > 100_000:
+    if len(_known) > 300_000:
         _known.clear()
     try:
         return list(map(_known.__getitem__, words))
