@@ -70,6 +70,81 @@ def measure(build: Callable[[], DataFrame], runs: int) -> list[float]:
     return out
 
 
+def rendered(root: PlanNode) -> str:
+    """The tree as text, one operator a line."""
+
+    def lines(node: PlanNode, before: str, last: bool, first: bool):
+        yield before + ("" if first else "`- " if last else "|- ") + f"{node.kind} ({node.bytes:.3g} B)"
+        for k, child in enumerate(node.children):
+            yield from lines(child, before + ("" if first else "   " if last else "|  "), k == len(node.children) - 1, False)
+
+    return "\n".join(lines(root, "", True, True))
+
+
+NODE_NAMES = [*(f"is_{x}" for x in FAMILIES), "log_bytes", "log_child_bytes", "children", "depth", "height"]
+
+
+def node_features(root: PlanNode) -> list[tuple[int, int, list[float]]]:
+    """(number, parent's number or -1, vector by ``NODE_NAMES``) of each operator, parents first: a plan as a model over trees reads it."""
+    out: list[tuple[int, int, list[float]]] = []
+    log = lambda x: math.log1p(min(x, 1e300))
+
+    def visit(node: PlanNode, parent: int, depth: int) -> None:
+        kind = {"Relation": "LogicalRelation"}.get(node.kind, node.kind)
+        kind = kind if kind in FAMILIES else "other"
+        number = len(out)
+        out.append((number, parent, [*(float(kind == x) for x in FAMILIES), log(node.bytes), log(sum(c.bytes for c in node.children)), float(len(node.children)), float(depth), float(node.depth())]))
+        for c in node.children:
+            visit(c, number, depth + 1)
+
+    visit(root, -1, 0)
+    return out
+
+
+def scaled(rows: list[list[float]]) -> tuple[list[float], list[float]]:
+    """Mean and deviation of each feature, for z-scores; a constant feature has deviation 1."""
+    n = max(1, len(rows))
+    mean = [sum(x) / n for x in zip(*rows, strict=True)]
+    dev = [math.sqrt(sum((v - m) ** 2 for v in x) / n) or 1.0 for x, m in zip(zip(*rows, strict=True), mean, strict=True)]
+    return mean, dev
+
+
+def footprint(df: DataFrame) -> dict[str, float]:
+    """The tables that a plan reads, by the folder or file each scan names, with the optimizer's size of what it reads."""
+    out: dict[str, float] = {}
+
+    def visit(p) -> None:
+        kids = p.children()
+        if p.nodeName().startswith(("LogicalRelation", "Relation")):
+            paths = p.relation().location().rootPaths()
+            name = paths.apply(0).getName().removesuffix(".parquet")
+            out[name] = out.get(name, 0.0) + float(str(p.stats().sizeInBytes()))
+        for i in range(kids.size()):
+            visit(kids.apply(i))
+
+    visit(df._jdf.queryExecution().optimizedPlan())
+    return out
+
+
+def measure_write(spark, table_path: str, change: Callable[[DataFrame], DataFrame], runs: int) -> list[float]:
+    """Milliseconds of writing a table's next state, each from the same state: a write goes to a folder beside it, which is deleted again.
+
+    The table itself is never touched, so a run that fails has nothing to undo but that folder.
+    """
+    out = []
+    for k in range(runs):
+        beside = f"{table_path.rstrip('/')}.run-{k}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(beside)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        began = time.perf_counter()
+        try:
+            change(spark.read.parquet(table_path)).write.mode("errorifexists").parquet(beside)
+            out.append((time.perf_counter() - began) * 1000)
+        finally:
+            files.delete(where, True)
+    return out
+
+
 TOP, BINS = 16, 12
 
 

@@ -147,6 +147,11 @@ def f11_all(spark, d):
     return kinds.filter(D.all_of("kinds", ["F", "O"])).select("o_custkey")
 
 
+def e11_json_path(spark, d):
+    """jsonb_path_exists with a filter."""
+    return _t(spark, d, "events").filter(D.json_path_exists("props", "$ ? (@.k > 5 && @.k <= 8 || @.k == 1)")).select("event_id")
+
+
 def f4_document_not_in(spark, d):
     """Missing values pass $ne and $nin."""
     c = _t(spark, d, "customer").select("c_custkey", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")).alias("segment"))
@@ -273,6 +278,7 @@ ORACLE = {
     "g6_pattern_comprehension": f"SELECT CAST(n_nationkey AS BIGINT) AS src, string_agg(DISTINCT CAST(dst AS VARCHAR), ',' ORDER BY CAST(dst AS VARCHAR)) AS friends FROM nation LEFT JOIN {_E} e ON e.src = n_nationkey GROUP BY 1",
     "g7_triangles": f"WITH e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM {_E} WHERE src <> dst) SELECT x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.v = y.u JOIN e z ON z.u = x.u AND z.v = y.v",
     "f11_quantifiers": f"SELECT o_orderkey, count(*) FILTER (WHERE l_quantity > 45) > 0 AS some, count(*) FILTER (WHERE l_quantity < 5) = 0 AS none, count(*) FILTER (WHERE l_quantity = 50) = 1 AS single, count(*) FILTER (WHERE l_quantity < 10) = 0 AS every FROM {_L} GROUP BY o_orderkey",
+    "e11_json_path": "SELECT event_id FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) WHERE k > 5 AND k <= 8 OR k = 1",
     "f11_all": "SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) = 2",
     "f4_document_not_in": "SELECT c_custkey, segment FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer) WHERE segment IS NULL OR segment NOT IN ('MACHINERY', 'HOUSEHOLD', 'FURNITURE')",
     "e16_sort_array": f"SELECT o_orderkey, first(l_partkey ORDER BY l_extendedprice DESC, l_partkey DESC) AS dearest FROM {_L} GROUP BY o_orderkey",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +50,17 @@ def boosted(rows: DataFrame, features: str = "features", actual: str = "latency"
     return Latency([(_fit(GBTRegressor(maxIter=rounds, maxDepth=depth, seed=seed), rows, features, actual), None, 1.0)])
 
 
+def tree(rows: DataFrame, features: str = "features", actual: str = "latency", depth: int = 8, seed: int = 0) -> Latency:
+    """One decision tree."""
+    return Latency([(_fit(DecisionTreeRegressor(maxDepth=depth, seed=seed), rows, features, actual), None, 1.0)])
+
+
+def random_trees(rows: DataFrame, features: str = "features", actual: str = "latency", trees: int = 100, depth: int = 10, bins: int = 8, seed: int = 0) -> Latency:
+    """Trees over all rows that try one feature in three at a split and few thresholds of it: more random than a forest's, and not resampled."""
+    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, maxBins=bins, featureSubsetStrategy="onethird", bootstrap=False, seed=seed)
+    return Latency([(_fit(model, rows, features, actual), None, 1.0)])
+
+
 def tail_blend(rows: DataFrame, chosen: list[int], weight: float = 0.5, features: str = "features", actual: str = "latency", seed: int = 0) -> Latency:
     """A forest on some features and boosted trees on all."""
     first = _fit(RandomForestRegressor(numTrees=100, maxDepth=8, seed=seed), rows, features, actual, chosen)

@@ -16,6 +16,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 # Fixed values.
 NOW = datetime(2025, 1, 1)
@@ -116,6 +117,91 @@ def network(spark: SparkSession, scale: float, seed: int = 0) -> dict[str, DataF
     return {"grp": grp, "node": node, "link": link, "log": log, "measure": measure, "doc": doc}
 
 
+# Event types and the units of the measures' dimensions.
+EVENTS = ["status_changed", "link_added", "measure_recorded", "doc_updated", "activated", "deactivated", "tag_changed"]
+EVENT_WEIGHTS = [0.2, 0.2, 0.3, 0.1, 0.08, 0.07, 0.05]
+NESTED = {"event_log": (60_000, 1.05), "bucket": (5_000, 1.05)}
+CHILDREN_MOST, READINGS_MOST = 20, 20
+
+
+def _payload(d: Draw, nodes: int) -> dict[str, Column]:
+    """An event's payload by its type: the fields differ, so it is kept as JSON."""
+    status, trigger = ["new", "open", "closed", "failed"], ["rule", "user", "schedule"]
+    by_rule = F.struct(d.choice("trigger", trigger).alias("trigger"), d.whole("rule", 1, 50).alias("rule_id"))
+    return {
+        "status_changed": F.struct(d.choice("from", status).alias("from_status"), d.choice("to", status).alias("to_status"), d.word("reason").alias("reason")),
+        "link_added": F.struct(d.whole("src", 1, nodes).alias("src_id"), d.whole("dst", 1, nodes).alias("dst_id"), d.whole("kind", 0, 4).alias("kind")),
+        "measure_recorded": F.struct(d.whole("dim", 0, 4).alias("dim"), d.real("val", 0, 100, 2).alias("val"), F.when(d.chance("had", 0.7), d.real("prev", 0, 100, 2)).alias("prev_val")),
+        "doc_updated": F.struct(d.whole("doc", 1, nodes).alias("doc_id"), F.struct(d.whole("version", 2, 9).alias("version"), d.word("title").alias("title")).alias("changes")),
+        "activated": by_rule,
+        "deactivated": by_rule,
+        "tag_changed": F.struct(d.word("old").alias("old_tag"), d.word("new").alias("new_tag")),
+    }
+
+
+def nested(spark: SparkSession, scale: float, seed: int = 0, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The network's document collections: ``grp_tree``, ``node_rich``, ``event_log`` (payloads of several shapes, as JSON) and ``bucket``.
+
+    An array of a parent's children has a stated bound (children of a group, readings of a dimension): what lies beyond stays in its table.
+    """
+    t, n, c = tables or network(spark, scale, seed), counts(NETWORK | NESTED, scale), F.col
+    grp, node = t["grp"], t["node"]
+    up = grp.select(c("grp_id").alias("parent_id"), c("name").alias("parent_name"))
+    path = F.when(c("parent_id").isNull(), F.concat(F.lit("/"), "name")).otherwise(F.concat(F.lit("/"), "parent_name", F.lit("/"), "name"))
+    first = W.partitionBy("parent_id").orderBy("grp_id")
+    below = grp.filter("parent_id IS NOT NULL").withColumn("k", F.row_number().over(first)).withColumn("child_count", F.count("*").over(W.partitionBy("parent_id"))).filter(c("k") <= CHILDREN_MOST)
+    below = below.groupBy(c("parent_id").alias("grp_id")).agg(F.array_sort(F.collect_list("grp_id")).alias("children"), F.first("child_count").alias("child_count"))
+    used = node.groupBy("grp_id").agg(F.count("*").alias("node_count"), F.count_if("is_active").alias("active_node_count"))
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long")).alias(x)
+    grp_tree = grp.join(up, "parent_id", "left").join(below, "grp_id", "left").join(used, "grp_id", "left").select(
+        "grp_id", "name", "depth", "priority", path.alias("path"), "parent_id", F.when(c("parent_id").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("parent_id")).alias("ancestors"),
+        F.coalesce("children", F.array().cast("array<bigint>")).alias("children"), F.struct(zero("node_count"), zero("active_node_count"), zero("child_count")).alias("stats"),
+    )
+
+    m = t["measure"].withColumn("k", F.row_number().over(W.partitionBy("node_id", "dim").orderBy(F.desc("recorded_at"), "measure_id")))
+    reading = F.sort_array(F.collect_list(F.when(c("k") <= READINGS_MOST, F.struct(c("recorded_at").alias("ts"), c("val").alias("val")))))
+    per = m.groupBy("node_id", "dim").agg(F.struct(F.count("*").alias("count"), F.avg("val").alias("avg"), F.min("val").alias("min"), F.max("val").alias("max"), reading.alias("readings")).alias("own"))
+    dims = per.groupBy("node_id").agg(F.struct(*(F.first(F.when(c("dim") == k, c("own")), ignorenulls=True).alias(f"d{k}") for k in range(len(DIM_RANGES)))).alias("dimensions"))
+    label = F.when(c("weight") > 0.66, "strong").when(c("weight") > 0.33, "usual").otherwise("weak")
+    out = t["link"].withColumn("k", F.row_number().over(W.partitionBy("src_id").orderBy(F.desc("weight"), "dst_id")))
+    outgoing = F.sort_array(F.collect_list(F.when(c("k") <= CHILDREN_MOST, F.struct("dst_id", "kind", "weight", F.struct(label.alias("label"), (c("weight") > 0.5).alias("strong")).alias("attrs")))))
+    outs = out.groupBy(c("src_id").alias("node_id")).agg(outgoing.alias("outgoing"), F.count("*").alias("out_degree"))
+    ins = t["link"].groupBy(c("dst_id").alias("node_id")).agg(F.count("*").alias("in_degree"))
+    v = Draw(seed, "rich", c("node_id"))
+    score = c("val_float") * 0.6 + c("val_int") / 1000 * 0.4
+    history = F.transform(F.sequence(F.lit(1).cast("long"), v.whole("changes", 1, 4)), lambda i: F.struct(i.alias("version"), v.word("by", i).alias("changed_by")))
+    node_rich = node.join(grp.select("grp_id", F.struct(c("grp_id"), c("name"), c("depth")).alias("grp")), "grp_id", "left").join(dims, "node_id", "left").join(outs, "node_id", "left").join(ins, "node_id", "left").select(
+        "node_id",
+        F.struct("tag", "status", "is_active", F.array_compact(F.array(F.when(c("is_active"), "live"), F.when(c("status") > 2, "trouble"))).alias("labels"), F.struct(v.chance("hot", 0.1).alias("is_hot"), v.chance("old", 0.05).alias("is_deprecated")).alias("flags")).alias("identity"),
+        F.struct(F.struct("val_int", "val_float").alias("raw"), F.round(score, 6).alias("composite"), F.when(score > 0.66, "gold").when(score > 0.33, "silver").otherwise("bronze").alias("tier")).alias("scores"),
+        F.struct("grp_id", "grp", "created_at", "note").alias("context"), "dimensions",
+        F.struct(F.coalesce("outgoing", F.array().cast(outs.schema["outgoing"].dataType)).alias("outgoing"), zero("out_degree"), zero("in_degree")).alias("connections"),
+        F.struct(F.lit(1).alias("schema_version"), v.word("by").alias("created_by"), history.alias("history")).alias("audit"),
+    )
+
+    e = Draw(seed, "event_log", c("event_id"))
+    kind = e.choice("type", EVENTS, EVENT_WEIGHTS)
+    shapes = _payload(e, n["node"])
+    payload = F.lit(None).cast("string")
+    for name in EVENTS:
+        payload = F.when(c("event_type") == name, F.to_json(shapes[name])).otherwise(payload)
+    event_log = _rows(spark, n["event_log"], "event_id").withColumn("event_type", kind).select(
+        "event_id", e.whole("node", 1, n["node"]).alias("node_id"), "event_type", e.since("at", 1).alias("occurred_at"),
+        F.struct(e.whole("user", 1, 200).alias("user_id"), e.choice("role", ["admin", "editor", "viewer", "system"]).alias("role"), F.hex(F.xxhash64(c("event_id"), F.lit(seed))).alias("session")).alias("actor"),
+        payload.alias("payload"), F.struct(e.choice("source", ["api", "batch", "ui"]).alias("source"), F.sha1(c("event_id").cast("string")).alias("request_id")).alias("context"),
+    )
+
+    b = Draw(seed, "bucket", c("bucket_id"))
+    low, high = (F.element_at(F.array(*(F.lit(float(r[k])) for r in DIM_RANGES)), c("dim") + 1) for k in (0, 1))
+    data = F.transform(F.sequence(F.lit(0).cast("long"), b.whole("n", 20, 60) - 1), lambda i: F.struct((i * 60).alias("offset_s"), F.round(low + b.u("val", i) * (high - low), 2).alias("val"), F.when(b.chance("bad", 0.05, i), "suspect").otherwise("good").alias("quality")))
+    raw = _rows(spark, n["bucket"], "bucket_id").withColumn("dim", b.whole("dim", 0, 4).cast("int")).select("bucket_id", b.whole("node", 1, n["node"]).alias("node_id"), "dim", F.date_trunc("HOUR", b.since("at", 1)).cast("timestamp_ntz").alias("hour_start"), F.lit(1).alias("span_hours"), data.alias("data"))
+    vals = F.transform("data", lambda x: x["val"])
+    add = lambda f: F.aggregate(vals, F.lit(0.0), lambda a, x: a + f(x))
+    sized = raw.withColumn("count", F.size("data")).withColumn("sum", add(lambda x: x)).withColumn("avg", c("sum") / c("count"))
+    bucket = sized.select("bucket_id", "node_id", "dim", "hour_start", "span_hours", "count", F.array_min(vals).alias("min"), F.array_max(vals).alias("max"), F.round("sum", 2).alias("sum"), "avg", F.sqrt(F.aggregate("data", F.lit(0.0), lambda a, x: a + F.pow(x["val"] - c("avg"), 2)) / c("count")).alias("stddev"), "data")
+    return {"grp_tree": grp_tree, "node_rich": node_rich, "event_log": event_log, "bucket": bucket}
+
+
 def _person(seed: int, key: Column) -> dict[str, Column]:
     d = Draw(seed, "person", key)
     name = F.initcap(F.concat_ws(" ", d.word("first"), d.word("last")))

@@ -52,3 +52,27 @@ def test_same_rows_in_every_partitioning(spark):
     a = S.network(spark, -6)["node"]
     b = S.network(spark, -6)["node"].repartition(7)
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_nested_collections(spark):
+    t = S.network(spark, -5)
+    d = S.nested(spark, -5, tables=t)
+    n = S.counts(S.NETWORK | S.NESTED, -5)
+    assert {k: v.count() for k, v in d.items()} == {"grp_tree": n["grp"], "node_rich": n["node"], "event_log": n["event_log"], "bucket": n["bucket"]}
+    tree = {r.grp_id: r for r in d["grp_tree"].collect()}
+    grp = {r.grp_id: r for r in t["grp"].collect()}
+    for k, r in tree.items():
+        below = sorted(x for x, g in grp.items() if g.parent_id == k)
+        assert r.children == below[: S.CHILDREN_MOST] and r.stats.child_count == len(below) and r.ancestors == ([r.parent_id] if r.parent_id else [])
+        assert r.path == ("/" + tree[r.parent_id].name if r.parent_id else "") + "/" + r.name
+    assert sum(r.stats.node_count for r in tree.values()) == n["node"]
+    degree = {r.src_id: r["count"] for r in t["link"].groupBy("src_id").count().collect()}
+    rich = {r.node_id: r for r in d["node_rich"].select("node_id", "connections.out_degree", F.size("connections.outgoing").alias("shown"), "dimensions.d0.count").collect()}
+    assert all(r.out_degree == degree.get(k, 0) and r.shown == min(r.out_degree, S.CHILDREN_MOST) for k, r in rich.items())
+    assert sum(r["count"] or 0 for r in rich.values()) == t["measure"].filter("dim = 0").count()
+    for r in d["bucket"].limit(50).collect():
+        vals = [x.val for x in r.data]
+        mean = sum(vals) / len(vals)
+        assert r["count"] == len(vals) and r.min == min(vals) and abs(r.avg - mean) < 1e-9 and abs(r.stddev**2 - sum((x - mean) ** 2 for x in vals) / len(vals)) < 1e-6
+    kinds = {r.event_type: set(r.keys) for r in d["event_log"].select("event_type", F.json_object_keys("payload").alias("keys")).filter("event_type <> 'measure_recorded'").distinct().collect()}
+    assert set(kinds) == set(S.EVENTS) - {"measure_recorded"} and kinds["tag_changed"] == {"old_tag", "new_tag"} and kinds["doc_updated"] == {"doc_id", "changes"}

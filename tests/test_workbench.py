@@ -144,3 +144,43 @@ def test_selectivity_is_near_the_true_share(spark):
     assert s.both(0.5, 0.5) == 0.25 and s.either(0.5, 0.5) == 0.75
     none = inspection.Selectivity.of(rows.filter("false"), "x")
     assert none.null() == none.equals(1.0) == none.between(0, 9) == 0
+
+
+def test_plan_nodes_and_footprint(spark):
+    d = "/root/testdata/sf0.001"
+    orders, customer = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("orders", "customer"))
+    df = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy("c_nationkey").count()
+    root = inspection.plan(df)
+    rows = inspection.node_features(root)
+    assert [n for n, _, _ in rows] == list(range(len(list(root.walk())))) and rows[0][1] == -1 and all(p < n for n, p, _ in rows)
+    assert all(len(x) == len(inspection.NODE_NAMES) and sum(x[: len(inspection.FAMILIES)]) == 1 for _, _, x in rows)
+    mean, dev = inspection.scaled([x for *_, x in rows])
+    assert len(mean) == len(dev) == len(inspection.NODE_NAMES) and min(dev) > 0
+    text = inspection.rendered(root)
+    assert len(text.split("\n")) == len(rows) and text.startswith("Aggregate") and "`- " in text
+    assert set(inspection.footprint(df)) == {"orders", "customer"}
+
+
+def test_measured_write_leaves_the_table_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(100).write.parquet(path)
+    times = inspection.measure_write(spark, path, lambda df: df.filter("id % 2 = 0"), 3)
+    assert len(times) == 3 and min(times) > 0 and spark.read.parquet(path).count() == 100 and [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
+def test_trees(spark):
+    rows = spark.createDataFrame([([float(k % 7), float(k % 3)], 10.0 + 5 * (k % 7)) for k in range(200)], "features array<double>, latency double")
+    for make in (models.tree, models.random_trees):
+        got = make(rows).predict(rows).selectExpr("avg(abs(predicted - latency)) e").first().e
+        assert got < 5
+
+
+def test_json_paths(spark):
+    from tessella.operators import documents as D
+
+    texts = ['{"a": {"b": [{"c": 1, "t": "x"}, {"c": 7}]}}', '{"a": {"b": {"c": 9}}}', '{"a": []}', "no json", None, '{"a": {"b": [{"c": "9", "t": "y", "f": true}]}}']
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, j string")
+    for path, want in (("$.a", {0, 1, 2, 5}), ("$.a.b[*]", {0, 1, 5}), ("$.a.b[*] ? (@.c > 5)", {0, 1, 5}), ('$.a.b[*] ? (@.t == "x" && @.c == 1)', {0}), ('$.a.b[*] ? (@.t == "y" || @.c >= 9)', {1, 5}), ("$.a.b[*] ? (@.f == true)", {5}), ("$.z", set())):
+        assert {r.k for r in table.filter(D.json_path_exists("j", path)).collect()} == want, path
+    with pytest.raises(ValueError):
+        D.json_path_exists("j", "a.b")
