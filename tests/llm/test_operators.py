@@ -88,6 +88,21 @@ def test_subtree_pairs_cover_every_link(spark):
     assert len(edges) == 400 and len(simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()) == 400
 
 
+def test_similar_sets_meet_with_the_stated_chance():
+    rng = np.random.default_rng(71)
+    bits = rng.random((3000, simhash.CODE, 64)) < simhash.differing(simhash.LEAST)
+    apart = np.packbits(bits, axis=2, bitorder="little").view("<u8")[..., 0]
+    for n in (10, 5000, 1 << 18, 1 << 27):
+        path, steps = simhash.budgets(n)
+        met = np.zeros(3000, dtype=bool)
+        for t in range(simhash.TABLES):
+            x, turn = apart[:, t // 2], np.uint64(32 * (t % 2))
+            x = (x << turn | x >> np.uint64(64) - turn) if turn else x
+            x >>= np.uint64(simhash.TABLE_BITS)
+            met |= np.logical_and.reduce([np.bitwise_count(x >> np.uint64(64 - d)) <= e for d, e in steps])
+        assert met.mean() > simhash.RECALL - 0.01 and steps[1][0] == simhash.TABLE_BITS + path
+
+
 def test_sharding(docs, empty, rows):
     r = sharding.records(docs)
     got = sharding.assign(r, sharding.deal(sharding.slot_stats(r))).collect()
