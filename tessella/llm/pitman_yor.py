@@ -278,12 +278,14 @@ def blocks(docs: DataFrame, held_out, parts: int, bits: int, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long"), held_out, utf8(text_col)).mapInArrow(run, schema)
 
 
-#: A part as written: words; each pair's word (by steps), context, customers; blocks, their entries; each entry's pair (by steps), document, count; hot (block, word), contexts; each one's pair.
-_PART = ("<u8", "<u4", "<u4", "<u8", "<i8", "<u4", "<i4", "<u2", "<u2", "<i8", "<i8", "<u4", "<u4")
+#: A part's dishes as written: words; each pair's word (by steps), context, customers.
+_DISHES = ("<u8", "<u4", "<u4", "<u8")
+#: A part's entries: blocks, their entries; each entry's pair (by steps), document, count; hot (block, word), contexts; each one's pair.
+_ENTRIES = ("<i8", "<u4", "<i4", "<u2", "<u2", "<i8", "<i8", "<u4", "<u4")
 
 
-def _merged(pdf: pd.DataFrame) -> bytes | None:
-    """All of a part's rows as one blob."""
+def _merged(pdf: pd.DataFrame) -> tuple[bytes, bytes] | None:
+    """All of a part's rows as two blobs: passes that only seat read the first."""
     cold = [(r.block, *_unpack_planes(r.blob, *_ENTRY)) for r in pdf[pdf.kind == 1].sort_values("block").itertuples()]
     hot = [(r.block, r.word, *_unpack_planes(r.blob, "<u4", "<u4")) for r in pdf[pdf.kind == 2].sort_values(["block", "word"]).itertuples()]
     if not cold and not hot:
@@ -298,16 +300,16 @@ def _merged(pdf: pd.DataFrame) -> bytes | None:
     learned = join(np.float64, [x[5] * (x[4] < x[6][0]) for x in cold] + [x[3] for x in hot])
     customers = np.bincount(of, learned, len(pairs))
     many = sum(len(x[3]) for x in cold)
-    return _pack_planes(
-        words, np.diff(pairs >> 22, prepend=0).astype("<u4"), (pairs & (1 << 22) - 1).astype("<u4"), customers.astype("<u8"),
+    dishes = _pack_planes(words, np.diff(pairs >> 22, prepend=0).astype("<u4"), (pairs & (1 << 22) - 1).astype("<u4"), customers.astype("<u8"))
+    return dishes, _pack_planes(
         np.array([x[0] for x in cold], dtype="<i8"), np.array([len(x[3]) for x in cold], dtype="<u4"), np.diff(of[:many], prepend=0).astype("<i4"), join("<u2", [x[4] for x in cold]), join("<u2", [x[5] for x in cold]),
         np.array([x[0] for x in hot], dtype="<i8"), np.array([x[1] for x in hot], dtype="<i8"), np.array([len(x[2]) for x in hot], dtype="<u4"), of[many:].astype("<u4"),
     )
 
 
-def _opened(blob: bytes) -> tuple[Part, list[np.ndarray]]:
-    words, pw, pb, c, blocks, sizes, pair, *rest = _unpack_planes(blob, *_PART)
-    return Part(words, np.cumsum(pw, dtype=np.int64), pb.astype(np.int64), c.astype(np.float64)), [blocks, sizes, np.cumsum(pair, dtype=np.int64), *rest]
+def _opened(blob: bytes) -> Part:
+    words, pw, pb, c = _unpack_planes(blob, *_DISHES)
+    return Part(words, np.cumsum(pw, dtype=np.int64), pb.astype(np.int64), c.astype(np.float64))
 
 
 def _added(parts: DataFrame, bits: int, values) -> list[tuple[np.ndarray, float, float]]:
@@ -321,7 +323,7 @@ def _added(parts: DataFrame, bits: int, values) -> list[tuple[np.ndarray, float,
         total: list[np.ndarray] = []
         for pdf in frames:
             for blob in pdf.blob:
-                part, _ = _opened(blob)
+                part = _opened(blob)
                 for j, (weights, *numbers) in enumerate(values(part)):
                     if len(total) <= j:
                         total.append(np.zeros((1 << bits) + 2))
@@ -387,12 +389,12 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     count, bits = max(1, -(-size // PART_BYTES)), context_bits(size)
     # one part per partition: hashing so few numbers would put several parts' blobs into one task
     dealt = blocks(docs, held_out, count, bits, id_col, text_col).repartitionById(count, F.col("part"))
-    schema = "kind int, word long, block long, blob binary"
+    schema = "kind int, word long, block long, blob binary, entries binary"
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = pdf[pdf.kind.isin((0, 3))][["kind", "word", "block", "blob"]]
-        blob = _merged(pdf)
-        return kept if blob is None else pd.concat([kept, pd.DataFrame({"kind": [1], "word": [0], "block": [0], "blob": [blob]})])
+        kept = pdf[pdf.kind.isin((0, 3))][["kind", "word", "block", "blob"]].assign(entries=None)
+        both = _merged(pdf)
+        return kept if both is None else pd.concat([kept, pd.DataFrame({"kind": [1], "word": [0], "block": [0], "blob": [both[0]], "entries": [both[1]]})])
 
     rows = materialise(dealt.groupBy("part").applyInPandas(gathered, schema), "parts")
     parts = rows.filter("kind = 1")
@@ -400,8 +402,10 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
 
     def scored(frames):
         for pdf in frames:
-            for blob in pdf.blob:
-                part, (at, sizes, pair, doc, n, hot_block, hot_word, hot_sizes, hot_pair) = _opened(blob)
+            for blob, entries in zip(pdf.blob, pdf.entries, strict=True):
+                part = _opened(blob)
+                at, sizes, pair, doc, n, hot_block, hot_word, hot_sizes, hot_pair = _unpack_planes(entries, *_ENTRIES)
+                pair = np.cumsum(pair, dtype=np.int64)
                 kept = list(part.sweeps(sums, SAMPLES + 1))[2:]
                 model = sums.log10(part.pb, part.c, [t for t, _, _ in kept], [x[part.pw] for _, x, _ in kept], [x[part.pw] for _, _, x in kept])
                 model, base = np.rint(model / UNIT), np.rint(np.log10(part.count + 1) / UNIT)[part.pw]
@@ -431,7 +435,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         return out.assign(doc_id=out.doc_id.mask(null.astype(bool)))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    found = parts.select("blob").mapInPandas(scored, _SUM)
+    found = parts.select("blob", "entries").mapInPandas(scored, _SUM)
     return found.groupBy("block").cogroup(rows.filter("kind <> 1").select("kind", "word", "block", "blob").groupBy("block")).applyInPandas(joined, schema)
 
 
