@@ -44,7 +44,7 @@ LOWER, UPPER = (0.8, 1.0), (0.6, 1.0)
 SINGLE = 128
 BLOCK_BYTES, BLOCK_DOCS = 3_000_000, 32_000
 #: Bytes of text whose tokens make a part, and slices in which the sums are added up.
-PART_BYTES, SLICES = 3_000_000, 64
+PART_BYTES, SLICES = 12_000_000, 64
 #: A word with this share of a block's tokens is frequent there.
 HOT = 0.004
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
