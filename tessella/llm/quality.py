@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import private, small_batches, table, utf8
+from .common import CACHES, private, small_batches, table, tidy, utf8
 
 DIM = 1 << 18
 SHAPES = 1 << 12
@@ -40,6 +40,7 @@ _UPPER = re.compile(rb"[A-Z]{2,}")
 #: Words whose features a worker keeps.
 CACHE = 100_000
 _slots: dict[bytes, tuple[int, int]] = {}
+CACHES.append(_slots)
 
 
 def _slot(word: bytes) -> tuple[int, int]:
@@ -170,7 +171,7 @@ def scored(docs: DataFrame, model: CumulativeLink, text_col: str = "text", keep_
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(up.sum(axis=1)), pa.array(up[:, -1])], names=[*b.schema.names, grade, top])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(grade, T.DoubleType()), T.StructField(top, T.DoubleType())])
-    return docs.mapInArrow(run, schema).withColumn(keep, F.col(top) >= keep_at)
+    return docs.mapInArrow(tidy(run), schema).withColumn(keep, F.col(top) >= keep_at)
 
 
 def kept(docs: DataFrame, model: CumulativeLink, text_col: str = "text", keep_at: float = 0.5) -> DataFrame:

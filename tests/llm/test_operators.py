@@ -103,6 +103,65 @@ def test_similar_sets_meet_with_the_stated_chance():
         assert met.mean() > simhash.RECALL - 0.01 and steps[1][0] == simhash.TABLE_BITS + path
 
 
+def brute_kept(texts, least=0.8):
+    """The smallest id of each group of similar texts."""
+    sets = [set(simhash.shingles(t.encode()).tolist()) for t in texts]
+    by = collections.defaultdict(list)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, s in enumerate(sets):
+        shared = collections.Counter(i for x in s for i in by[x])
+        for i, n in shared.items():
+            if n / (len(s) + len(sets[i]) - n) >= least and find(i) != find(j):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for x in s:
+            by[x].append(j)
+    return {find(i) for i in range(len(texts))}
+
+
+def test_every_link_among_texts_with_much_in_common_is_found(spark):
+    common, texts = [f"c{i}" for i in range(114)], []
+    for k in range(300):  # of 135 shingles each all share 110 (similarity 0.69), the two of a pair 120 (0.8)
+        texts += [" ".join([*common, *(f"p{k}w{i}" for i in range(10)), *(f"s{k}{x}w{i}" for i in range(15))]) for x in "ab"]
+    assert len(simhash.shingles(texts[0].encode())) == 135 and len(brute_kept(texts)) == 300
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.similar_dropped(table).collect()} == brute_kept(texts)
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(72)
+    common, texts = [f"c{i}" for i in range(60)], []
+    for k in range(40):  # families around one frequent text, each a chain whose ends are not similar
+        own = common + [f"f{k}w{i}" for i in range(int(rng.integers(12, 22)))]
+        for step in range(3):
+            texts.append(" ".join(own[: len(own) - 4 * step] + [f"s{k}t{step}w{i}" for i in range(int(rng.integers(1, 5)))]))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    monkeypatch.setattr(simhash, "ORDER_DOCS", 40)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_kept(texts)
+    for small, block, shared in ((1, 4, 5), (3, 16, 1)):
+        for name, value in (("SMALL", small), ("BLOCK", block), ("COMMON", shared)):
+            monkeypatch.setattr(simhash, name, value)
+        assert {r.doc_id for r in simhash.similar_dropped(table).collect()} == want
+    assert 1 < len(want) < 119
+
+
+def test_parities_bound_what_differs():
+    rng = np.random.default_rng(73)
+    for _ in range(200):
+        every = rng.integers(0, 2**64, 400, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(every, int(rng.integers(0, 400)))) for _ in range(2))
+        p, q = simhash.parities(a), simhash.parities(b)
+        w = min(len(p), len(q))
+        assert np.bitwise_count(simhash.folded(p, w) ^ simhash.folded(q, w)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_sharding(docs, empty, rows):
     r = sharding.records(docs)
     got = sharding.assign(r, sharding.deal(sharding.slot_stats(r))).collect()
