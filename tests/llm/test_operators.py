@@ -697,6 +697,19 @@ def test_pitman_yor_equals_plain_gibbs(spark, monkeypatch):
         assert [got[k] for k in range(len(texts))] == pytest.approx(want, rel=1e-9)
 
 
+def test_pitman_yor_contexts_never_share_a_restaurant(spark):
+    first: dict[int, str] = {}
+    top = lambda w: xxhash.xxh64_intdigest(w.encode()) >> 48
+    one, two = next((first[top(w)], w) for w in map("c{}".format, range(10000)) if first.setdefault(top(w), w) != w)
+    # no dish has two customers, so no seat of a context is drawn
+    texts = [f"{one} a", f"b {one} d", f"{two} e", f"f {two} g", f"x {one} a {two} a", f"{two} d h"]
+    held = [k >= 4 for k in range(len(texts))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in pitman_yor.score(table, (F.col("doc_id") >= 4).alias("h")).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(brute_pitman_yor(texts, held, 64), rel=1e-9)
+    assert brute_pitman_yor(texts, held, 16) != pytest.approx(brute_pitman_yor(texts, held, 64), rel=1e-3)
+
+
 def test_pitman_yor_adds_up_to_one():
     rng = np.random.default_rng(2)
     pw, pb = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
