@@ -562,6 +562,64 @@ def test_each_seed_is_matched_to_the_first_it_shares_most_with():
             assert got[i] == want
 
 
+def classes(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("minor", [0, 2, 16])
+def test_chaining_loses_no_link(spark, monkeypatch, minor):
+    rng = np.random.default_rng(44)
+    lines, parts, texts = [prose(20, 7000 + k) for k in range(3)], [], []
+    for k in range(12):  # copies that differ in every fifth word; what they share stands in other, earlier documents and in lines of all
+        own = [f"p{k}w{i}" for i in range(54)]
+        if k % 3 == 0:
+            own[20:40] = lines[0].split()
+        other = [f"q{k}r{i}" if i % 5 == 4 else w for i, w in enumerate(own)]
+        parts += [" ".join(own[i : i + 4]) for i in range(0, 54, 5)]
+        texts += [" ".join([prose(30, 7100 + k), " ".join(x), prose(30, 7200 + 20 * k + j)]) for j, x in enumerate((own, other))]
+    rng.shuffle(parts)
+    early = [" ".join(f"{prose(25, 7500 + 9 * k + j)} {x}" for j, x in enumerate(parts[k::40])) for k in range(40)]
+    texts = [f"{t} {lines[k % 3]} {prose(9, 7900 + k)} {lines[0]}" for k, t in enumerate(early + texts)]
+    words = [np.array(chaining.hashes(t.encode().split()), dtype=np.uint64).astype("<u4") for t in texts]
+    want = [(a, b) for b in range(len(texts)) for a in range(b) if chaining.linked(words[b], words[a])]
+    assert set(want) >= {(40 + 2 * k, 41 + 2 * k) for k in range(12)} and len(set(classes(len(texts), want))) > 40
+    monkeypatch.setattr(chaining, "MINOR", minor)
+    monkeypatch.setattr(chaining, "CHUNK", 20)
+    got = chaining.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)).collect()
+    assert all(r.identity >= chaining.SAME and min(r.end - r.start, r.other_end - r.other_start) >= chaining.LEAST for r in got)
+    assert classes(len(texts), [(r.doc_id, r.other_id) for r in got]) == classes(len(texts), want)
+
+
+def test_met_lists_or_leaves_every_start_of_a_match():
+    rng = np.random.default_rng(45)
+    for _ in range(60):
+        seed, before, root = np.sort(rng.integers(0, 6, 50)), rng.choice([1, 1, 1, 1, 2, 3], 50), rng.integers(0, 5, 50)
+        i, j, rest, odd = chaining.met(seed, before, root, int(rng.integers(0, 5)))
+        got = {frozenset(x) for x in zip(i.tolist(), j.tolist(), strict=True)}
+        assert len(got) == len(i)
+        for a in range(50):
+            for b in range(a):
+                if seed[a] == seed[b] and root[a] != root[b] and before[a] != before[b]:
+                    assert (frozenset((a, b)) in got) != (rest[a] >= 0 and rest[a] == rest[b] and (odd[a] or odd[b]))
+                else:
+                    assert frozenset((a, b)) not in got
+
+
+def test_windows_of_a_passage_may_link():
+    rng = np.random.default_rng(46)
+    for _ in range(200):
+        n, side = int(rng.integers(50, 100)), chaining.WIDE
+        x, y = (rng.integers(1, 40, 2 * side).astype("<u4") for _ in range(2))
+        start = int(rng.integers(side - n + 4, side + 1))
+        y[start : start + n] = x[start : start + n]
+        y[rng.choice(np.setdiff1d(np.arange(start, start + n), np.arange(side, side + 4))[: n - 4], int(0.2 * n), replace=False)] = 99
+        assert chaining.may_link(chaining.contexts([x]), chaining.contexts([y]))[0, 0] and chaining.best_shared(x[None], y[None])[0] >= 0
+
+
 def test_thinned_matches_cover_the_same_words():
     rng = np.random.default_rng(13)
     for _ in range(50):
