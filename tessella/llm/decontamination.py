@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise, small_batches, table, utf8
+from .common import materialise, small_batches, table, tidy, utf8
 from .pitman_yor import hashes
 
 SEED = 3
@@ -129,7 +129,7 @@ def _items(benchmark: DataFrame, least: float, item_col: str, item_text: str) ->
             yield _rows(["item_id", "item", "m", "words", "seeds"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())], out)
 
     rows = benchmark.select(F.col(item_col).cast("long").alias("i"), utf8(item_text).alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct()
-    return rows.select("i", F.xxhash64("i", "t"), "t").mapInArrow(run, "item_id long, item long, m int, words binary, seeds array<long>")
+    return rows.select("i", F.xxhash64("i", "t"), "t").mapInArrow(tidy(run), "item_id long, item long, m int, words binary, seeds array<long>")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -170,7 +170,7 @@ def _hits(docs: DataFrame, bitmap: np.ndarray, widths: list[int], reach: int, id
             yield _rows(["row", "doc_id", "lo", "words", "seeds", "places"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())], out)
 
     schema = "row long, doc_id long, lo int, words binary, seeds array<long>, places array<int>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col)).mapInArrow(tidy(run), schema)
 
 
 def _chosen(items: DataFrame, hits: DataFrame, least: float) -> DataFrame:
@@ -203,7 +203,7 @@ def _stretches(hits: DataFrame, items: DataFrame, least: float) -> DataFrame:
                             c.append(v)
             yield _rows(["doc_id", "item", "start", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], out)
 
-    return hits.select("row", "doc_id", "lo", "words").join(asked, "row").select("doc_id", "lo", "words", "asked").mapInArrow(cut, "doc_id long, item long, start long, ids binary")
+    return hits.select("row", "doc_id", "lo", "words").join(asked, "row").select("doc_id", "lo", "words", "asked").mapInArrow(tidy(cut), "doc_id long, item long, start long, ids binary")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -234,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: s
             yield _rows(["doc_id", "item_id", "score", "start", "end"], [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], out)
 
     both = _stretches(hits, items, least).join(items.select("item", "item_id", "words", "m"), "item")
-    found = both.select("doc_id", "item_id", "start", "ids", "words", "m").mapInArrow(aligned, "doc_id long, item_id long, score double, start long, end long")
+    found = both.select("doc_id", "item_id", "start", "ids", "words", "m").mapInArrow(tidy(aligned), "doc_id long, item_id long, score double, start long, end long")
     best = F.max_by(F.struct("score", "start", "end"), F.struct("score", -F.col("start"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.score", "b.start", "b.end")
 

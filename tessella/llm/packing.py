@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table, tidy, utf8
+from .common import CACHES, materialise, small_batches, table, utf8
 
 ROOM = 4096
 END = 1
@@ -93,7 +93,9 @@ class WordTokenizer:
             return b"".join(map(known.__getitem__, runs))
 
 
+#: Kept from task to task of packing, as it takes longest to open; other operators' tasks drop it.
 _open: dict[str, WordTokenizer] = {}
+CACHES.append(_open)
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -120,7 +122,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, id_col: str = "doc_id",
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col)).mapInArrow(tidy(run), schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col)).mapInArrow(run, schema)
 
 
 def best_fit(lengths: list[int], room: int = ROOM) -> list[list[int]]:

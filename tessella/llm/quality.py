@@ -135,7 +135,7 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, grades: int =
             got = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.astype("<i4").tobytes() for g, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary()), b.column(2)], names=["doc_id", "i", "x", "grade"])
 
-    drawn = named.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(run, "doc_id long, i binary, x binary, grade int").collect()
+    drawn = named.select("doc_id", "text", F.col("grade").cast("int")).mapInArrow(tidy(run), "doc_id long, i binary, x binary, grade int").collect()
     drawn.sort(key=lambda r: r.doc_id)
     rows = [(np.frombuffer(r.i, "<i4").astype(np.int64), np.frombuffer(r.x, "<f4").astype(float), r.grade) for r in drawn]
     model = CumulativeLink(grades)

@@ -1,12 +1,14 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns; operators and pipeline stages against plain forms."""
 
 import collections
+import contextlib
 import math
 import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 pytest.importorskip("tessella.llm")
@@ -268,3 +270,17 @@ def test_sharding_map_is_stored_and_edited(spark, docs, tmp_path):
     one, two = ({r.vslot: r.shard for r in sharding.stored(spark, path, v).collect()} for v in (1, 2))
     assert one == {r.vslot: r.shard for r in sharding.deal(sharding.slot_stats(rows)).collect()} and set(one) == set(two)
     assert max(two.values()) <= 8 and max(one.values()) <= 7
+
+
+def test_tasks_of_the_pipeline_leave_nothing_in_workers(docs, spark, monkeypatch):
+    """A worker serves all stages: what one of them keeps of words would add to what the next one needs."""
+    tasks, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, *args, **more: tasks.append(f) or plain(df, f, *args, **more))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, DIR).collect()
+    assert len(tasks) > 6
+    for task in tasks:
+        pitman_yor._known[b"word"], quality._slots[b"word"], packing._open["file"] = 1, (1, 1), None
+        with contextlib.suppress(AttributeError):  # some ask for their partition, which there is none of here
+            list(cloudpickle.loads(cloudpickle.dumps(task))(iter([])))  # as a worker gets it
+        assert not any([pitman_yor._known, quality._slots, packing._open])
