@@ -620,6 +620,59 @@ def test_windows_of_a_passage_may_link():
         assert chaining.may_link(chaining.contexts([x]), chaining.contexts([y]))[0, 0] and chaining.best_shared(x[None], y[None])[0] >= 0
 
 
+def test_chaining_meets_in_runs_of_one_word(spark):
+    texts = [" ".join([prose(20, 8000), *["the"] * 51, prose(20, 8001)]), " ".join([*["the"] * 229, prose(20, 8002)]), " ".join([prose(20, 8003), *["the"] * 30])]
+    got = chaining.passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((0, 1))} and all(r.identity >= chaining.SAME for r in got)
+
+
+def test_repeated_seeds_are_counted():
+    rng = np.random.default_rng(47)
+    for _ in range(40):
+        ends = np.cumsum(rng.integers(0, 80, 5))
+        place, seed = chaining.kmers(rng.integers(0, int(rng.integers(1, 4)), ends[-1]).astype(np.uint64), ends)
+        doc, reach, last, want = np.searchsorted(ends, place, side="right"), int(rng.integers(1, 60)), {}, []
+        for x in zip(seed.tolist(), doc.tolist(), place.tolist(), strict=True):
+            at, n = last.get(x[:2], (-100, -1))
+            last[x[:2]] = x[2], n + 1 if x[2] - at <= reach else 0
+            want.append(last[x[:2]][1])
+        assert chaining.repeats(seed, doc, place, reach).tolist() == want
+
+
+def test_bounds_of_ordered_words():
+    rng, side, run = np.random.default_rng(48), chaining.WIDE, lambda *x: np.concatenate([np.repeat(np.uint32(w), n) for w, n in x]).astype("<u4")
+    for _ in range(300):
+        n = int(rng.integers(50, 100))
+        x, y = (rng.integers(1, 40, 2 * side).astype("<u4") for _ in range(2))
+        start = int(rng.integers(side - n + 4, side + 1))
+        own = np.setdiff1d(np.arange(start, start + n), np.arange(side, side + 4))
+        y[start : start + n] = x[start : start + n]
+        for at in np.sort(rng.choice(own, int(0.2 * n), replace=False))[:: int(rng.integers(1, 3))]:  # words differ or are left out, towards the ends
+            if rng.random() < 0.5:
+                y[at] = 99
+            elif at < side:
+                y[1 : at + 1] = y[:at].copy()
+            else:
+                y[at:-1] = y[at + 1 :].copy()
+        assert chaining.best_aligned(x[None], y[None])[0] >= 0 and chaining.best_aligned(y[None], x[None])[0] >= 0
+    x, y = run((9, side), (1, 45), (2, side - 45)), run((8, side), (1, 10), (3, 9), (1, 10), (4, side - 29))
+    assert chaining.best_shared(x[None], y[None])[0] >= 0 > chaining.best_aligned(x[None], y[None])[0]
+
+
+def test_texts_without_a_passage_are_not_chained(monkeypatch):
+    rng, texts = np.random.default_rng(49), []
+    for k in range(40):
+        words = np.repeat(rng.integers(0, 6, 12), rng.integers(1, 45, 12)) + rng.integers(0, 2, 1) * 3
+        texts.append(np.where(rng.random(len(words)) < 0.1, 100 + k, words).astype("<u4"))
+    pairs = [(x, y) for x in texts for y in texts[:8] if x is not y]
+    got = [chaining.linked(x, y) for x, y in pairs]
+    with monkeypatch.context() as m:
+        m.setattr(chaining, "may_hold", lambda *a: True)
+        assert got == [chaining.linked(x, y) for x, y in pairs] and 0 < sum(map(bool, got)) < len(got)
+    monkeypatch.setattr(chaining, "chains", None)
+    assert chaining.linked(np.r_[[1] * 42, [2] * 42].astype("<u4"), np.r_[[3] * 47, [1] * 47, [4] * 47].astype("<u4")) == []
+
+
 def test_thinned_matches_cover_the_same_words():
     rng = np.random.default_rng(13)
     for _ in range(50):
